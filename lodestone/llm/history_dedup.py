@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import with_file_key
 from ..functions.text import key_or_null
+from ..session import cut
 
 #: Letters from frequent to rare, and what they are replaced by so that ascending order puts the rare first.
 _FREQUENT_FIRST = " etaoinsrhldcumfpgwybvkxjqz0123456789"
@@ -78,23 +79,25 @@ def append_index(index: DataFrame, path: str, buckets: int = 256) -> None:
 
 
 def _first_same_id(batch: DataFrame, history: DataFrame) -> DataFrame:
-    ids = batch.where("id_key is not null")
-    both = history.select("id_key", "arrival").join(ids.select("id_key").distinct(), "id_key", "left_semi").unionByName(ids.select("id_key", "arrival"))
+    """history: the raw table; ids need neither paths nor titles."""
+    ids = batch.where("id_key is not null").select("id_key", "arrival")
+    old = history.select(key_or_null(F.col("finding_id")).alias("id_key"), F.lit(HISTORY).cast("long").alias("arrival"))
+    both = old.join(ids.select("id_key").distinct(), "id_key", "left_semi").unionByName(ids)
     return both.groupBy("id_key").agg(F.min("arrival").alias("first"))
 
 
 def _first_same_title(batch: DataFrame, history: DataFrame) -> DataFrame:
+    """history: keyed reports of the batch's places."""
     probes = _titles(batch)
-    places = probes.select("file_key", "nums").distinct()
-    near = history.join(places, ["file_key", "nums"], "left_semi")
-    index = build_index(near.unionByName(batch))
+    stored = _titles(history.unionByName(batch))
+    index = build_index(history.unionByName(batch))
     t = F.col("title_key")
     asked = probes.select("file_key", "nums", t.alias("probe"), F.size(_grams(t, 3)).alias("probe_grams"), F.explode(_grams(t, 2)).alias("segment"))
     pairs = asked.join(index, ["file_key", "nums", "segment"]).where("probe != title_key and grams <= 2 * probe_grams and probe_grams <= 2 * grams").groupBy("file_key", "nums", "probe", "title_key").agg(F.min("arrival").alias("arrival"))
     a, b = _grams(F.col("probe"), 3), _grams(F.col("title_key"), 3)
     common = F.size(F.array_intersect("a", "b"))
     agreed = pairs.select("*", a.alias("a"), b.alias("b")).where(common * 3 >= F.size("a") + F.size("b"))
-    same = _titles(near.unionByName(batch)).select("file_key", "nums", F.col("title_key").alias("probe"), "arrival")
+    same = stored.select("file_key", "nums", F.col("title_key").alias("probe"), "arrival")
     return agreed.select("file_key", "nums", "probe", "arrival").unionByName(same).groupBy("file_key", "nums", F.col("probe").alias("title_key")).agg(F.min("arrival").alias("first"))
 
 
@@ -104,8 +107,9 @@ def known_reports(batches: DataFrame, history: DataFrame, scans: DataFrame) -> D
     Null or blank ids agree with nothing, neither do null paths, null titles and titles under three characters. Of repeated rows in
     the batches the one with the smallest seq is new. Empty inputs give an empty result; other columns are ignored.
     """
-    new = keyed_reports(batches, scans, F.col("seq"))
-    old = keyed_reports(history, scans, F.lit(HISTORY))
-    by_id = new.join(_first_same_id(new, old), "id_key").where("first < arrival").select("seq")
-    by_title = new.join(_first_same_title(new, old), ["file_key", "nums", "title_key"]).where("first < arrival").select("seq")
+    new = cut(keyed_reports(batches, scans, F.col("seq")))
+    places = new.where("file_key is not null").select("file_key", "nums").distinct()
+    near = cut(keyed_reports(history, scans, F.lit(HISTORY)).join(places, ["file_key", "nums"], "left_semi"))
+    by_id = new.join(_first_same_id(new, history), "id_key").where("first < arrival").select("seq")
+    by_title = new.join(_first_same_title(new, near), ["file_key", "nums", "title_key"]).where("first < arrival").select("seq")
     return by_id.unionByName(by_title).distinct()
