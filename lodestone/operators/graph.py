@@ -1,7 +1,7 @@
 """Call graph: import map, resolution of calls, adjacency, chains to sinks, entry points.
 
 Chains are enumerated level by level with equality joins on the edges, paths carried as arrays. Before a level is expanded, nothing
-outside the direction of travel is kept: backward walks start at sinks only, forward walks keep a node only if it reaches a sink in
+outside the direction of travel is kept, and each level is cut through the checkpoint folder: backward walks start at sinks only, forward walks keep a node only if it reaches a sink in
 the steps that remain (a semi join per level), so the frontier follows the answer and not the graph.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..dims import ENTRY_WORDS
 from ..functions.text import contains_any
+from ..session import cut
 from .symbols import base_name
 
 #: Nodes after which a backward chain ends, so a chain has up to one more.
@@ -83,7 +84,7 @@ def chains_to_sinks(edges: DataFrame, functions: DataFrame, depth: int = BACKWAR
         if n > depth:
             ended = walks
         else:
-            met = walks.withColumn("at", F.element_at("path", -1)).join(e, "at", "left")
+            met = cut(walks.withColumn("at", F.element_at("path", -1)).join(e, "at", "left"))
             closes = F.array_contains(F.slice("path", 2, depth + 1), F.col("caller"))
             ended = met.where(F.col("caller").isNull() | closes).select("sink_id", "path")
             walks = met.where(F.col("caller").isNotNull() & ~closes).select("sink_id", F.concat("path", F.array("caller")).alias("path"))

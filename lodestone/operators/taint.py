@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .graph import FORWARD_DEPTH, chains_to_sinks, clean_edges
 from .symbols import details
 
@@ -16,24 +17,27 @@ def forward_paths(edges: DataFrame, functions: DataFrame, depth: int = FORWARD_D
     """
     e = clean_edges(edges)
     sinks = functions.where("is_sink").select(F.col("func_id").alias("node"))
-    # reach[k]: nodes from which a sink is at most k steps away.
-    reach = [sinks]
-    for _ in range(depth - 1):
-        back = e.join(reach[-1].withColumnRenamed("node", "dst_id"), "dst_id", "left_semi").select(F.col("src_id").alias("node"))
-        reach.append(reach[-1].unionByName(back).distinct())
+    # near: nodes with the least number of steps to a sink. A level is made of the one before only, and cut, so plans stay short.
+    frontier = cut(sinks.distinct())
+    near = frontier.withColumn("steps", F.lit(0))
+    for k in range(1, depth):
+        frontier = cut(e.join(frontier.withColumnRenamed("node", "dst_id"), "dst_id", "left_semi").select(F.col("src_id").alias("node")).distinct())
+        near = near.unionByName(frontier.withColumn("steps", F.lit(k)))
+    near = cut(near.groupBy("node").agg(F.min("steps").alias("steps")))
     paths = functions.where("is_source").select(F.col("func_id").alias("src_id"), F.array("func_id").alias("path"))
     out = None
     for step in range(depth):
-        useful = e.join(reach[depth - 1 - step].withColumnRenamed("node", "dst_id"), "dst_id", "left_semi").select(F.col("src_id").alias("at"), F.col("dst_id").alias("to"))
+        useful = e.join(near.where(F.col("steps") <= depth - 1 - step).select(F.col("node").alias("dst_id")), "dst_id", "left_semi").select(F.col("src_id").alias("at"), F.col("dst_id").alias("to"))
         paths = paths.withColumn("at", F.element_at("path", -1)).join(useful, "at").where(~F.array_contains("path", F.col("to"))).select("src_id", F.concat("path", F.array("to")).alias("path"))
+        paths = cut(paths)
         ended = paths.withColumn("node", F.element_at("path", -1)).join(sinks, "node", "left_semi").select("src_id", F.col("node").alias("sink_id"), "path")
         out = ended if out is None else out.unionByName(ended)
     return out
 
 
-def _sanitizer_on(paths: DataFrame, functions: DataFrame, key: list[str]) -> DataFrame:
-    """paths with the first sanitizer of the first function on the path that has one."""
-    what = details(functions).where("sanitizer is not null").select("func_id", "sanitizer")
+def _sanitizer_on(paths: DataFrame, what: DataFrame, key: list[str]) -> DataFrame:
+    """paths with the first sanitizer of the first function on the path that has one; what: details() of the functions."""
+    what = what.where("sanitizer is not null").select("func_id", "sanitizer")
     nodes = paths.select(*key, "path").distinct().select(*key, "path", F.posexplode("path").alias("pos", "func_id"))
     first = nodes.join(what, "func_id").groupBy(*key, "path").agg(F.min_by("sanitizer", "pos").alias("sanitizer"))
     return paths.join(first, [*key, "path"], "left")
@@ -51,13 +55,13 @@ def flows(edges: DataFrame, functions: DataFrame) -> DataFrame:
     order; chains come last. Order among equal kinds is by the ids on the path.
     """
     f = functions.dropDuplicates(["func_id"])
-    d = details(f)
+    d = cut(details(f))
     order = f.select("func_id", "file", "line", "ordinal")
     sources = d.where("size(sources) > 0").select(F.col("func_id").alias("src_id"), F.posexplode("sources").alias("source_no", "source"))
     sinks = d.where("size(sinks) > 0").select(F.col("func_id").alias("sink_id"), F.posexplode("sinks").alias("sink_no", "sink"))
     own = sources.join(sinks, F.col("src_id") == F.col("sink_id")).withColumn("path", F.array("src_id")).withColumn("kind", F.lit(0))
     ahead = forward_paths(edges, f).join(sources, "src_id").join(sinks, "sink_id").withColumn("kind", F.lit(1))
-    chains = chains_to_sinks(edges, f).distinct()
+    chains = cut(chains_to_sinks(edges, f).distinct())
     on = chains.select("sink_id", "path", F.posexplode("path").alias("pos", "func_id")).join(f.where("is_source").select("func_id"), "func_id", "left_semi").groupBy("sink_id", "path").agg(F.min_by("func_id", "pos").alias("src_id"))
     back = on.join(sources.where("source_no = 0"), "src_id").join(sinks, "sink_id").withColumn("kind", F.lit(2))
     columns = ["kind", "src_id", "source_no", "source", "sink_id", "sink_no", "sink", "path"]
@@ -66,7 +70,7 @@ def flows(edges: DataFrame, functions: DataFrame) -> DataFrame:
     rank = F.struct(F.when(F.col("kind") == 2, 1).otherwise(0).alias("late"), F.when(F.col("kind") < 2, F.col("ordinal")).alias("o"), "source_no", "kind", "path", "sink_no", "src_id", "sink_id")
     kept = placed.groupBy("source", "src_file", "src_line", "sink", "sink_file", "sink_line").agg(F.min(rank).alias("r"))
     chosen = kept.select("source", F.col("r.src_id").alias("src_id"), "sink", F.col("r.sink_id").alias("sink_id"), F.col("r.path").alias("path"))
-    return _sanitizer_on(chosen, f, ["sink_id"]).select("source", "src_id", "sink", "sink_id", "path", "sanitizer", risk_level().alias("risk_level"))
+    return _sanitizer_on(cut(chosen), d, ["sink_id"]).select("source", "src_id", "sink", "sink_id", "path", "sanitizer", risk_level().alias("risk_level"))
 
 
 def flow_stats(found: DataFrame) -> DataFrame:
