@@ -56,6 +56,11 @@ def _titles(rows: DataFrame) -> DataFrame:
     return rows.where("file_key is not null and length(title_key) >= 3").groupBy("file_key", "nums", "title_key").agg(F.min("arrival").alias("arrival"))
 
 
+def _spread(titles: DataFrame) -> DataFrame:
+    """Over all partitions: titles are few bytes, which AQE would put into few tasks, but each makes dozens of entries."""
+    return titles.repartition(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_key", "nums", "title_key")
+
+
 def build_index(rows: DataFrame) -> DataFrame:
     """Segment entries (file_key, nums, segment, grams, title_key, arrival) of keyed_reports()."""
     t = F.col("title_key")
@@ -65,7 +70,7 @@ def build_index(rows: DataFrame) -> DataFrame:
     cuts = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.substr(t, i * 2 + 1, F.lit(2)))
     rare = F.array_sort(F.transform(cuts, lambda s: F.struct(F.translate(s, _FREQUENT_FIRST, _RANKS).alias("r"), s.alias("s"))))
     kept = F.array_distinct(F.transform(F.slice(rare, F.lit(1), m - need + 1), lambda x: x["s"]))
-    return _titles(rows).select("file_key", "nums", "title_key", "arrival", grams.alias("grams"), F.explode(kept).alias("segment"))
+    return _spread(_titles(rows)).select("file_key", "nums", "title_key", "arrival", grams.alias("grams"), F.explode(kept).alias("segment"))
 
 
 def write_index(index: DataFrame, path: str, buckets: int = 256) -> None:
@@ -92,7 +97,7 @@ def _first_same_title(batch: DataFrame, history: DataFrame) -> DataFrame:
     stored = _titles(history.unionByName(batch))
     index = build_index(history.unionByName(batch))
     t = F.col("title_key")
-    asked = probes.select("file_key", "nums", t.alias("probe"), F.size(_grams(t, 3)).alias("probe_grams"), F.explode(_grams(t, 2)).alias("segment"))
+    asked = _spread(probes).select("file_key", "nums", t.alias("probe"), F.size(_grams(t, 3)).alias("probe_grams"), F.explode(_grams(t, 2)).alias("segment"))
     pairs = asked.join(index, ["file_key", "nums", "segment"]).where("probe != title_key and grams <= 2 * probe_grams and probe_grams <= 2 * grams").groupBy("file_key", "nums", "probe", "title_key").agg(F.min("arrival").alias("arrival"))
     a, b = _grams(F.col("probe"), 3), _grams(F.col("title_key"), 3)
     common = F.size(F.array_intersect("a", "b"))
