@@ -246,9 +246,10 @@ def report_fold(findings: DataFrame, target: str = "") -> DataFrame:
 # Order and numbers.
 
 
-def numbered(findings: DataFrame, order: list[Column], out: str = "index", parts: int = 64) -> DataFrame:
+def numbered(findings: DataFrame, order: list[Column], out: str = "index") -> DataFrame:
     """Adds the 1-based place in the given total order, without moving all rows into one task: a range partitioning, a count for each
-    range, and the offsets of the ranges (one number a range) joined back."""
+    range, and the offsets of the ranges (one number for each shuffle partition, so of bounded size) joined back."""
+    parts = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = findings.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
     placed = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     placed = cut(placed)

@@ -508,7 +508,7 @@ def w10_marked_lines(s, d):
 
 
 @query()
-def p7_parsed_code(s, d):
+def s2_parsed_code(s, d):
     return code.parsed(_docs(s, d)).select("file", "kind", "name", "line", "end_line", F.array_join("calls", ",").alias("calls"), "is_exported")
 
 
