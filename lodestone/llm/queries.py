@@ -119,3 +119,35 @@ ig AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """,
 }
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_PLAIN = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+_KEY = "(?:^|[^a-z])(api|a)[^a-z0-9]*0*([0-9]{1,2})(?:[^0-9]|$)"
+# Every form of a value against every reference text: the plain way to say what the segment join finds.
+ORACLES["p3_found"] = f"""
+WITH entered AS (
+  SELECT seq, field_name, value FROM (SELECT seq, source, 'cwe_id' AS field_name, cwe_id AS value FROM findings UNION ALL SELECT seq, source, 'owasp_category', owasp_category FROM findings)
+  WHERE source IS NOT NULL AND lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) NOT IN ({", ".join(_quoted(s) for s in canonical.SCANNERS)}) AND regexp_matches(value, '\\S')
+), v AS (SELECT DISTINCT field_name, value, lower(translate(value, {_quoted(canonical._WIDE)}, {_quoted(canonical._NARROW)})) AS a FROM entered),
+keyed AS (
+  SELECT field_name, value, a, CASE WHEN NOT regexp_matches(a, '[0-9]') THEN NULL
+    WHEN field_name = 'cwe_id' THEN 'CWE-' || ltrim(regexp_extract(a, '([0-9]+)', 1), '0')
+    WHEN regexp_matches(a, '{_KEY}') THEN upper(regexp_extract(a, '{_KEY}', 1)) || lpad(regexp_extract(a, '{_KEY}', 2), 2, '0') || ':' ||
+      CASE WHEN regexp_matches(a, '(?:^|[^0-9])(?:19|20)[0-9]{{2}}(?:[^0-9]|$)') THEN regexp_extract(a, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1) WHEN regexp_extract(a, '{_KEY}', 1) = 'a' THEN '2021' ELSE '2023' END
+    ELSE '' END AS k FROM v
+), catalog AS (SELECT 'cwe_id' AS field_name, * FROM cwe_catalog UNION ALL SELECT 'owasp_category', * FROM owasp_catalog),
+texts AS (SELECT field_name, canon_key, {_PLAIN.format(c="title")} AS t, alt_names FROM catalog),
+refs AS (
+  SELECT field_name, canon_key, t AS text FROM texts UNION SELECT field_name, canon_key, {_PLAIN.format(c="n")} FROM (SELECT field_name, canon_key, unnest(alt_names) AS n FROM catalog)
+  UNION SELECT field_name, canon_key, array_to_string(w[1:i - 1] || w[i + 1:], ' ') FROM (SELECT field_name, canon_key, string_split(t, ' ') AS w, unnest(range(1, len(string_split(t, ' ')) + 1)) AS i FROM texts) WHERE len(w) > 3
+), bounded AS (SELECT *, greatest(CASE WHEN len(text) >= 6 THEN 2 WHEN len(text) >= 4 THEN 1 ELSE 0 END, len(text) // {canonical.CHARS_PER_EDIT}) AS most FROM refs WHERE text != ''),
+forms AS (SELECT DISTINCT field_name, value, unnest([p, regexp_replace(p, '^((?:{"|".join(canonical.HEDGES)}) )+', ''), {_PLAIN.format(c="regexp_replace(a, '^([^,]*),(.*)$', '\\2 \\1')")}]) AS form FROM (SELECT *, {_PLAIN.format(c="a")} AS p FROM keyed WHERE k IS NULL)),
+near AS (SELECT f.field_name, f.value, r.canon_key, min(levenshtein(form, text)) AS d FROM forms f JOIN bounded r ON f.field_name = r.field_name AND abs(len(form) - len(text)) <= most WHERE form != '' AND levenshtein(form, text) <= most GROUP BY 1, 2, 3),
+best AS (SELECT field_name, value, arg_min(canon_key, (d, canon_key)) AS canon_key FROM near GROUP BY 1, 2),
+mapped AS (SELECT k.field_name, k.value, c.canon_key FROM keyed k JOIN catalog c ON k.field_name = c.field_name AND k.k = c.canon_key UNION ALL SELECT * FROM best)
+SELECT e.seq, e.field_name, coalesce(m.canon_key, '{canonical.UNMATCHED}') AS canon_key FROM entered e LEFT JOIN mapped m ON e.field_name = m.field_name AND e.value = m.value
+"""
