@@ -168,7 +168,19 @@ def f19_reporting_titles(s, d):
     return _f(s, d).where(~fnd.is_rejected_title()).select("seq")
 
 
-@query()
+def _report_sql() -> str:
+    """Groups by labels that travel from rows to keys and back, eight times; the largest distance over shared keys is far below."""
+    path = "CASE WHEN regexp_extract(p, 'workspace/[^/]*/(.*)$', 1) != '' THEN regexp_extract(p, 'workspace/[^/]*/(.*)$', 1) ELSE p END"
+    cwe = "CASE WHEN coalesce(cwe_id, '') = '' THEN '' WHEN regexp_matches(cwe_id, '(?i)CWE-\\d+') THEN upper(regexp_extract(cwe_id, '(?i)(CWE-\\d+)', 1)) ELSE upper(trim(cwe_id)) END"
+    rounds = "".join(f", k{i} AS (SELECT k, min(l) AS l FROM links JOIN r{i - 1} USING (seq) GROUP BY k), r{i} AS (SELECT seq, min(l) AS l FROM links JOIN k{i} USING (k) GROUP BY seq)" for i in range(1, 9))
+    return f"""WITH f AS (SELECT *, coalesce(title, '') AS t, coalesce(file_path, '') AS p, coalesce(line_number, 0)::VARCHAR AS line, {cwe} AS cwe FROM findings WHERE {CONFIRMED}), g AS (SELECT *, {path} AS path FROM f),
+links AS (SELECT DISTINCT seq, unnest([concat('1|', t, '|', path, '|', line), CASE WHEN regexp_matches(t, 'CVE-\\d{{4}}-\\d+') THEN concat('2|', regexp_extract(t, '(CVE-\\d{{4}}-\\d+)', 1), '|', path) END,
+CASE WHEN cwe != '' AND path != '' AND {BASE.format(c="path")} NOT IN {one_of(dims.MERGE_EXEMPT)} THEN concat('3|', cwe, '|', path, '|', line) END, concat('4|', t, '|', path, '|', severity, '|', line, '|', trim(substr(coalesce(description, ''), 1, 100)))]) AS k FROM g),
+r0 AS (SELECT DISTINCT seq, seq AS l FROM links WHERE k IS NOT NULL){rounds}
+SELECT seq FROM r8 JOIN f USING (seq) QUALIFY row_number() OVER (PARTITION BY l ORDER BY coalesce(confidence, 0.0) DESC, CASE WHEN coalesce(trim(remediation), '') != '' THEN 0 ELSE 1 END, {RANK}, seq) = 1"""
+
+
+@query(_report_sql())
 def w5_report_unique(s, d):
     return fnd.report_unique(fnd.confirmed(_f(s, d))).select("seq")
 
@@ -454,9 +466,12 @@ def l1_prioritised(s, d):
     return scan.prioritised(_docs(s, d)).select("doc_id", "priority", "security", "size")
 
 
-@query()
+@query(f"""WITH one AS (SELECT file_path, arg_min(text, doc_id) AS text FROM documents WHERE text IS NOT NULL AND file_path IS NOT NULL GROUP BY 1),
+f AS (SELECT file_path AS path, len(text) AS n, CASE WHEN {BASE.format(c='file_path')} IN {one_of(dims.PRIORITY_FILES)} THEN 0 ELSE 1 END AS a, CASE WHEN {holds('lower(file_path)', dims.SECURITY_WORDS)} THEN 1 ELSE 2 END AS b, strlen(text) AS size FROM one WHERE {_SELECTED}),
+w AS (SELECT *, coalesce(sum(n) OVER (ORDER BY a, b, size, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
+SELECT path, (CASE WHEN n > 200000 - before THEN 200000 - before + 16 ELSE n END)::BIGINT AS chars FROM w WHERE before < 200000 AND (before + n <= 200000 OR 200000 - before > 500)""")
 def w3_within_budget(s, d):
-    one = _docs(s, d).groupBy("path").agg(F.min_by("content", "doc_id").alias("content"))
+    one = _docs(s, d).where("content is not null and path is not null").groupBy("path").agg(F.min_by("content", "doc_id").alias("content"))
     return scan.within_budget(one).select("path", F.length("content").alias("chars"))
 
 
@@ -501,7 +516,8 @@ def e1_scan_severities(s, d):
     return fnd.severity_counts(scan.pattern_findings(_snippets(s, d)).withColumn("is_false_positive", F.lit(False)))
 
 
-@query()
+@query(r"""WITH f AS (SELECT seq, string_split(regexp_replace(code_snippet, '\n$', ''), chr(10)) AS l, code_snippet AS c FROM findings WHERE code_snippet IS NOT NULL)
+SELECT seq, CASE WHEN c = '' THEN '' ELSE array_to_string(list_transform(range(1, least(len(l), 4) + 1), lambda i: printf('%s %4d | %s', CASE WHEN i BETWEEN 2 AND 3 THEN '>>>' ELSE '   ' END, i, rtrim(l[i]))), chr(10)) END AS text FROM f""")
 def w10_marked_lines(s, d):
     f = _f(s, d).select("seq", F.col("code_snippet").alias("content"))
     return f.where("content is not null").select("seq", scan.marked_lines(F.col("content"), F.lit(2), F.lit(3), 1).alias("text"))
