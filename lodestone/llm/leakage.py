@@ -26,6 +26,7 @@ WORDS, EDITS = 12, 2
 MOST_Q = 8
 BAND = 8
 MOST_ITEMS = 20_000
+PORTION = 4 << 20
 _BITS = 20
 _WORD = re.compile(r"[^\W_]+")
 
@@ -217,7 +218,19 @@ class QGramFilter:
         return best
 
     def search(self, docs: list[bytes]) -> list[tuple[int, int, int, int]]:
-        """(document, item id, longest exact run in words, fewest edits of a window) of each item that a document holds."""
+        """(document, item id, longest exact run in words, fewest edits of a window) of each item that a document holds.
+
+        Documents are taken in portions of PORTION bytes (or one longer document), so memory does not follow the batch.
+        """
+        out, first, size = [], 0, 0
+        for i, d in enumerate(docs):
+            size += len(d)
+            if size >= PORTION or i + 1 == len(docs):
+                out += [(first + k, *rest) for k, *rest in self._search(docs[first : i + 1])]
+                first, size = i + 1, 0
+        return out
+
+    def _search(self, docs: list[bytes]) -> list[tuple[int, int, int, int]]:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         arrays: dict[int, np.ndarray] = {}
         for doc, item, first in self.regions(docs):
