@@ -20,6 +20,7 @@ def selected_functions(edges: DataFrame, functions: DataFrame, flagged_files: Da
     f = functions.dropDuplicates(["func_id"])
     names = f.select(F.col("func_id").alias("sink_id"), F.col("func_name").alias("sink_name"))
     part = lambda df, step, text: df.select("func_id", F.lit(step).alias("step"), text.alias("reason"))
+    # The wording of the reasons.
     sinks = part(f.where("is_sink"), 1, F.concat(F.lit("contains_sink:"), F.array_join("sink_categories", ",")))
     sources = part(f.where("is_source"), 2, F.lit("contains_user_input_source"))
     callers = part(sink_callers(edges, f).join(names, "sink_id"), 3, F.concat(F.when(F.col("level") == 1, "calls_sink:").otherwise("indirect_caller_of_sink:"), "sink_name"))

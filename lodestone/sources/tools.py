@@ -10,6 +10,7 @@ from ..functions.text import py_title
 
 COLUMNS = ["title", "description", "severity", "source", "file_path", "line_number", "end_line", "code_snippet", "cwe_id", "owasp_category", "cvss_score", "confidence", "remediation", "references"]
 
+# The JSON shapes of the tools; in the readers, the wording of titles and the confidence given to each tool.
 _SEMGREP = "struct<results:array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<message:string,severity:string,lines:string,metadata:struct<cwe:array<string>,owasp:array<string>,source:string>>>>>"
 _BANDIT = "struct<results:array<struct<test_name:string,test_id:string,issue_text:string,issue_severity:string,issue_confidence:string,issue_cwe:struct<id:string>,filename:string,line_number:int,end_col_offset:int,code:string>>>"
 _TRIVY = "struct<Results:array<struct<Target:string,Vulnerabilities:array<struct<VulnerabilityID:string,PkgName:string,InstalledVersion:string,FixedVersion:string,Severity:string,Title:string,Description:string,CVSS:map<string,struct<V3Score:double>>,CweIDs:array<string>,References:array<string>>>,Secrets:array<struct<Category:string,Title:string,StartLine:int,EndLine:int,Match:string>>>>>"
