@@ -3,29 +3,29 @@
 Two reports are alike if they are about the same file, at most 5 lines apart, have different ids, and share at least 0.6 of the
 distinct words of title and description.
 
-Fingerprints. A report gets 48 symbols of 8 bits, each the low byte of the smallest hash of its words under one hash function, so
-that each symbol of two reports agrees with the probability of their similarity (and 1/256 of the rest). The distance of two
-fingerprints is the number of symbols that differ.
+Fingerprints. A report gets symbols of 8 bits, each the low byte of the smallest hash of its words under one hash function, so
+that each symbol of two reports agrees with the probability of their similarity (and 1/256 of the rest). All words count, also those
+that most rows of a block have: they are part of the similarity that defines a pair. The distance of two fingerprints is the number
+of symbols that differ.
 
-Tables. The fingerprint is cut into segments, each with a table keyed by the block (file and lines) and the segment's content. Of
-each segment the Hamming ball of radius 1 is enumerated: one key for each symbol left open, which covers all contents that differ
-in that symbol only. Rows that share a key are candidates; their complete distance is verified, then the exact similarity.
+Tables. The fingerprint is cut into segments, each with a table keyed by the block (file and lines) and the segment's content. Rows
+that share a key are candidates; their complete distance is verified, then the exact similarity.
 
-Segments are as long as the block asks for, by the usual rule that a segment should have about log2(rows of the block) bits: two
-symbols in blocks of up to HOT rows, four in larger ones. In the latter, words that more than a tenth of the block's rows have are
-left out of the fingerprint (not out of the exact check): boilerplate would make unlike reports collide, and the keys of a hot file
-would be met by thousands of rows. So candidates stay in proportion to the pairs that are alike, even if one file has a third of
-all rows. Expected recall at similarity 0.6: above 0.999 in cold blocks; in hot ones it follows the similarity without boilerplate, above
-0.999 at 0.6 and about 0.99 at 0.5. Tests and README hold figures against brute force.
+Segments are as long as the block asks for, by the usual rule that a segment should have about log2(rows of the block) bits. In
+blocks of up to HOT rows they have two symbols, and the Hamming ball of radius 1 is enumerated: one key for each symbol left open,
+which covers all contents that differ in that symbol only. In larger ones they have five symbols, no ball, and there are more of them:
+keys of fewer symbols would make reports collide that have only boilerplate in common. Expected recall depends on the similarity only,
+not on how common the shared words are: above 0.999 at 0.6, in cold and hot blocks, and more above. Tests and README hold figures
+against brute force.
 
 Lines: block number = line / 6. Rows at most 5 lines apart are in the same or in neighbouring blocks; each row is entered in its
 own block, and carried into the next.
 
 Movement. Block sizes are counted first, from ids, paths and lines only. Hot blocks (more than HOT rows, or more if there were over
 MOST_HOT of them: so the list that is broadcast has a fixed bound, and a cold block at most max(HOT, rows / MOST_HOT) rows) have
-their tables joined across the cluster, by table key. Rows of cold blocks move once, by stretches of 64 blocks of a file, and meet
-their tables within the task, in bounded portions. Project directories are looked up in a broadcast set if there are at most
-MOST_TARGETS, else by a join.
+their tables spread over the cluster, by table key; a task holds the entries of some keys at a time, at least those of one. Rows of
+cold blocks move once, by stretches of 64 blocks of a file, and meet their tables within the task, in bounded portions. Project
+directories are looked up in a broadcast set if there are at most MOST_TARGETS, else by a join.
 """
 
 from __future__ import annotations
@@ -42,24 +42,24 @@ from ..functions.text import key_or_null
 from ..session import cut
 
 THRESHOLD, LINES = 0.6, 5
-SYMBOLS = 48
-#: Symbols that are carried along to verify the distance.
+#: Symbols that are carried along to verify the distance, in cold blocks.
 SHOWN = 32
 #: Rows of a block from which it is hot.
 HOT = 256
 #: Most hot blocks (8 bytes each are broadcast), and most project directories looked up in memory.
 MOST_HOT, MOST_TARGETS = 1_000_000, 1_000_000
-#: Parts into which a hot block's rows are salted.
-SALTS = 64
-#: Share of a hot block's rows from which a word is boilerplate there.
-COMMON = 0.1
 #: Symbols in a segment and number of segments, in cold and in hot blocks.
 COLD_SEGMENT, COLD_SEGMENTS = 2, 4
-HOT_SEGMENT, HOT_SEGMENTS = 4, 12
+HOT_SEGMENT, HOT_SEGMENTS = 5, 96
+#: Tables whose keys are sent on at a time.
+AT_ONCE = 12
 #: Least number of agreeing symbols of a candidate (expected at similarity 0.6: 19 of 32, standard deviation 2.8).
 AGREEING = 8
+#: The same in hot blocks, where one bit of each of so many symbols is carried along: most bits that differ (expected at 0.6: 51, standard deviation 6.4).
+HOT_SHOWN, HOT_DIFFERING = 256, 77
 
-_SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64)
+_SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (2, 48), dtype=np.uint64)
+_SEEDS = np.concatenate([_SEEDS, np.random.default_rng(20240301).integers(1, 2**63, (2, HOT_SEGMENT * HOT_SEGMENTS - 48), dtype=np.uint64)], axis=1)
 
 
 def _words(title: str | None, description: str | None) -> set[str]:
@@ -84,7 +84,7 @@ class _Hashes(dict):
         return h
 
 
-def fingerprints(sets: list[list[int]], symbols: int = SYMBOLS) -> np.ndarray:
+def fingerprints(sets: list[list[int]], symbols: int = HOT_SEGMENT * HOT_SEGMENTS) -> np.ndarray:
     """Symbols (uint8, one row for each set of word hashes); an empty set gives zeros."""
     out = np.zeros((len(sets), symbols), np.uint8)
     full = [i for i, s in enumerate(sets) if s]
@@ -114,6 +114,14 @@ def _table_keys(block: np.ndarray, prints: np.ndarray, size: int, many: int) ->
     return keys
 
 
+def _mixed(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Keys with the symbols of part (a row for each key) mixed in."""
+    for j in range(part.shape[1]):
+        key = (key ^ part[:, j].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        key ^= key >> np.uint64(29)
+    return key
+
+
 def _alike(a: set[str], b: set[str]) -> bool:
     common = len(a & b)
     return common > 0 and common >= THRESHOLD * (len(a) + len(b) - common)
@@ -205,39 +213,60 @@ def _cold_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(pa.Table.from_batches(held))
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates whose complete fingerprints are near enough."""
+_ENTRIES = 200_000
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of entries (key, block, seq, carried, print) sorted by key: same key and block, and near enough in the complete distance."""
+    held: list[pa.RecordBatch] = []
+
+    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, block, seq = (rows.column(n).to_numpy() for n in ("key", "block", "seq"))
+        carried = rows.column("carried").to_numpy()
+        prints = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        near, step = np.flatnonzero(key[1:] == key[:-1]), 1
+        while len(near):
+            x, y = near, near + step
+            fit = (np.bitwise_count(prints[x] ^ prints[y]).sum(1) <= HOT_DIFFERING) & (block[x] == block[y]) & (seq[x] != seq[y]) & ~(carried[x] & carried[y])
+            x, y = x[fit], y[fit]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(block[x]), pa.array(np.minimum(seq[x], seq[y])), pa.array(np.maximum(seq[x], seq[y]))], names=["block", "seq_a", "seq_b"])
+            step += 1
+            near = near[near + step < len(key)]
+            near = near[key[near] == key[near + step]]
+
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint8).reshape(-1, SHOWN) for n in ("print_a", "print_b"))
-        keep = pa.array((x == y).sum(1) >= AGREEING)
-        yield pa.RecordBatch.from_arrays([b.column(n).filter(keep) for n in ("block", "seq_a", "seq_b")], names=["block", "seq_a", "seq_b"])
+        held.append(b)
+        if sum(x.num_rows for x in held) >= _ENTRIES:
+            rows = pa.Table.from_batches(held)
+            key = rows.column("key").to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))
+            if whole:
+                yield from flush(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+    if held:
+        yield from flush(pa.Table.from_batches(held))
 
 
 def _hot_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of rows (block, carried, seq, id_key, line, text) of hot blocks, by tables joined across the cluster."""
+    """Pairs of rows (block, carried, seq, id_key, line, text) of hot blocks, by tables spread over the cluster."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
     rows = rows.select("block", "carried", "seq", "id_key", "line", words.alias("words"))
-    counts = rows.select("block", F.explode("words").alias("w")).groupBy("block", "w").agg(F.count("*").alias("df"))
-    sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
-    # At most (words of a row) / COMMON words of a block pass, however many rows it has.
-    common = counts.join(sizes, "block").where(F.col("df") > F.col("n") * COMMON).groupBy("block").agg(F.collect_list("w").alias("common"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         for b in batches:
-            sets = [[cache[w] for w in ws if w not in stop] for ws, stop in zip(b.column("words").to_pylist(), (set(x or ()) for x in b.column("common").to_pylist()))]
-            prints = fingerprints(sets)
-            keys = _table_keys(b.column("block").to_numpy().view(np.uint64), prints, HOT_SEGMENT, HOT_SEGMENTS)
-            again = pa.array(np.tile(np.arange(b.num_rows), len(keys)))
-            shown = pa.array([x[:SHOWN].tobytes() for x in prints], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[b.column(n).take(again) for n in ("block", "seq", "carried")], shown.take(again)], names=["key", "block", "seq", "carried", "print"])
-
-    # Salted: all rows of a hot block have one key here.
-    salts = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    made = rows.withColumn("salt", F.pmod("seq", F.lit(SALTS)).cast("int")).join(salts, ["block", "salt"], "left").select("block", "seq", "carried", "words", "common").mapInArrow(entries, "key long, block long, seq long, carried boolean, print binary")
-    a, b = made.alias("a"), made.alias("b")
-    met = a.join(b, F.col("a.key") == F.col("b.key")).where("a.block = b.block and a.seq != b.seq and not b.carried and (a.carried or a.seq < b.seq)")
-    pairs = met.select("a.block", F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), F.col("a.print").alias("print_a"), F.col("b.print").alias("print_b")).mapInArrow(_agree, "block long, seq_a long, seq_b long").distinct()
+            prints = fingerprints([[cache[w] for w in ws] for ws in b.column("words").to_pylist()])
+            block = b.column("block").to_numpy().view(np.uint64)
+            again = pa.array(np.tile(np.arange(b.num_rows), AT_ONCE))
+            shown = pa.array([x.tobytes() for x in np.packbits(prints[:, :HOT_SHOWN] & 1, axis=1)], pa.binary()).take(again)
+            kept = [b.column(n).take(again) for n in ("block", "seq", "carried")]
+            for first in range(0, HOT_SEGMENTS, AT_ONCE):
+                keys = [_mixed(block ^ np.uint64(s + 1), prints[:, s * HOT_SEGMENT : (s + 1) * HOT_SEGMENT]) for s in range(first, first + AT_ONCE)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *kept, shown], names=["key", "block", "seq", "carried", "print"])
+
+    made = rows.where(F.size("words") > 0).select("block", "seq", "carried", "words").mapInArrow(entries, "key long, block long, seq long, carried boolean, print binary")
+    pairs = made.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "block long, seq_a long, seq_b long").distinct()
     left, right = (rows.select("block", F.col("seq").alias(f"seq_{x}"), F.col("carried").alias(f"carried_{x}"), F.col("id_key").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     both = pairs.join(left, ["block", "seq_a"]).join(right, ["block", "seq_b"]).where(f"id_a != id_b and abs(line_a - line_b) <= {LINES}")
     shared = F.size(F.array_intersect("words_a", "words_b"))

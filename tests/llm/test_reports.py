@@ -149,6 +149,24 @@ def test_similar_reports_equal_all_pairs_with_a_hot_file(spark):
     assert near_duplicates.similar_reports(df.limit(0), scans(spark)).collect() == []
 
 
+def test_similar_reports_of_a_defect_that_fills_a_third_of_a_hot_block(spark):
+    r = random.Random(12)
+    defect = [f"common{k}" for k in range(10)]
+    rows = []
+    for i in range(1000):
+        t = [f"w{r.randrange(3000)}" for _ in range(10)]
+        if i < 300:
+            t = list(defect)
+            if i % 2:
+                t[r.randrange(10)] = f"slip{i}"
+        rows.append((i, f"id{i}", "shop/lock.json", "", 0, " ".join(t)))
+    sets = [set(x[5].split()) for x in rows]
+    want = {(a, b) for a in range(1000) for b in range(a + 1, 1000) if 10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b])}
+    got = [(x.seq_a, x.seq_b) for x in near_duplicates.similar_reports(spark.createDataFrame(rows, SCHEMA), scans(spark)).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want
+    assert len(got) >= 0.999 * len(want) > 40_000
+
+
 CODE = [
     ('password = "%s"', "hunter2!x9"), ("url = 'postgres://app:%s@db.test/x'", "Zq8#kkPa"), ("curl -H 'X-Api-Key: %s' https://a.test", "0f3a9b7c6d5e4f3a2b1c0d9e8f7a6b5c"), ("# TODO: token=%s", "aK3jd93KdkeP02mdk4Lm3kd9s"),
     ('os.environ.get("DB_SECRET", "%s")', "Blue-lagoon-77"), ("charge('%s')", "sk_live_a9Kd83mdK20dkLm3Xc7q"), ('k = """%s"""', "-----BEGIN RSA PRIVATE KEY-----\nMIIabc123\nZZ==\n-----END RSA PRIVATE KEY-----"),
