@@ -28,8 +28,9 @@ from ..session import cut
 
 ROUNDS = 3
 MOST_SHAPES = 2_000
-#: Atoms that an item may span; longer unquoted items stay whole in the alternative that no delimiter of the field splits.
-LONGEST = 12
+#: Atoms of a field up to which every span of them may be an item; in longer fields spans of up to LONGEST atoms, and all that lie
+#: between neighbouring delimiters of one kind (see reaches).
+EVERY_SPAN, LONGEST = 64, 12
 
 _DELIMITER = re.compile(r"\s*([,;|])\s*| *([/+&]) *|\s+(and)\s+| *([\r\n\t])\s*|( ) *", re.IGNORECASE)
 _CWE = r"cwe[-_ ]?\d+"
@@ -106,6 +107,26 @@ FURTHER = 0.3
 _SAID = {"line": "\n", "tab": "\t", "blank": " ", "and": " and "}
 
 
+def reaches(delimiters: list[str]) -> list[list[int]]:
+    """For each end the starts of spans, latest first.
+
+    A long field has, besides spans of up to LONGEST atoms, those of any length that fill the room between neighbouring delimiters of
+    a kind: of each kind alone, of each kind and the firm ones, of the firm ones, and of none (the whole field).
+    """
+    n = len(delimiters) + 1
+    if n <= EVERY_SPAN:
+        return [list(range(e - 1, -1, -1)) for e in range(1, n + 1)]
+    starts = [set(range(max(0, e - LONGEST), e)) for e in range(1, n + 1)]
+    kinds = set(delimiters)
+    for splits in {frozenset(x) for d in kinds for x in ({d}, {d} | FIRM & kinds)} | {frozenset(FIRM & kinds), frozenset()}:
+        begin = 0
+        for e in range(1, n + 1):
+            if e == n or delimiters[e - 1] in splits:
+                starts[e - 1].add(begin)
+                begin = e
+    return [sorted(x, reverse=True) for x in starts]
+
+
 class Model:
     """Frequencies of item shapes and rates at which delimiters split."""
 
@@ -114,44 +135,51 @@ class Model:
         self.shapes, self.rates = shapes or {}, rates or {}
 
     def item(self, kind: str, atoms: int) -> float:
-        seen = self.shapes.get(kind, 0.0)
+        """Logarithm of the probability: the items of long fields are beyond the range of a float."""
         # Before anything is learned every atom of an item costs the same; an unseen shape stays possible at any time.
-        return (seen * FURTHER ** (atoms - 1) + 1e-4 * 0.1**atoms) / (self.total + 1) if self.total else 0.05 * 0.5**atoms
+        if not self.total:
+            return math.log(0.05) + atoms * math.log(0.5)
+        seen, unseen = self.shapes.get(kind, 0.0), math.log(1e-4) + atoms * math.log(0.1)
+        if seen:
+            known = math.log(seen) + (atoms - 1) * math.log(FURTHER)
+            unseen = max(known, unseen) + math.log1p(math.exp(-abs(known - unseen)))
+        return unseen - math.log(self.total + 1)
 
     def rate(self, delimiter: str) -> float:
         return min(0.999, max(0.001, self.rates.get(delimiter, BELIEF[delimiter])))
 
-    def spans(self, shapes: list[str], delimiters: list[str]) -> list[list[tuple[int, str, float, float]]]:
-        """For each end the spans (start, shape, probability as an item, probability that its inner delimiters do not split)."""
-        out = []
-        for e in range(1, len(shapes) + 1):
-            row, kind, keep = [], "", 1.0
-            for s in range(e - 1, max(-1, e - 1 - LONGEST) if len(shapes) > LONGEST else -1, -1):
-                if s == e - 1:
-                    kind = shapes[s]
-                else:
-                    if shapes[s] in ('"', "cwe-9: title") or shapes[s + 1] in ('"', "cwe-9: title"):
+    def spans(self, shapes: list[str], delimiters: list[str]) -> list[list[tuple[int, str, float]]]:
+        """For each end the spans (start, shape, logarithm of the probability as an item whose inner delimiters do not split)."""
+        out, whole = [], {'"', "cwe-9: title"}
+        said, stay = [_SAID.get(d, d) for d in delimiters], [math.log(1 - self.rate(d)) for d in delimiters]
+        for e, starts in enumerate(reaches(delimiters), 1):
+            row, kind, keep, at = [], shapes[e - 1], 0.0, e - 1
+            for s in starts:
+                if s < at:
+                    inner = shapes[s : at + 1]
+                    if any(x in whole for x in inner):
                         break
-                    kind = shapes[s] + _SAID.get(delimiters[s], delimiters[s]) + kind
-                    keep *= 1 - self.rate(delimiters[s])
-                row.append((s, kind, self.item(kind, e - s), keep))
+                    kind = "".join(x + y for x, y in zip(inner, said[s:at])) + kind
+                    keep += sum(stay[s:at])
+                    at = s
+                row.append((s, kind, self.item(kind, e - s) + keep))
             out.append(row)
         return out
 
     def expected(self, shapes: list[str], delimiters: list[str], shape_counts: dict, split_counts: dict, weight: float) -> None:
-        spans, n = self.spans(shapes, delimiters), len(shapes)
+        spans, n = [[(s, kind, math.exp(x)) for s, kind, x in row] for row in self.spans(shapes, delimiters)], len(shapes)
         forward, backward = [1.0] + [0.0] * n, [0.0] * n + [1.0]
         cut_rate = [1.0] + [self.rate(d) for d in delimiters] + [1.0]
         for e in range(1, n + 1):
-            forward[e] = cut_rate[e] * sum(forward[s] * p * keep for s, _, p, keep in spans[e - 1])
+            forward[e] = cut_rate[e] * sum(forward[s] * p for s, _, p in spans[e - 1])
         for e in range(n, 0, -1):
-            for s, _, p, keep in spans[e - 1]:
-                backward[s] += p * keep * cut_rate[e] * backward[e]
+            for s, _, p in spans[e - 1]:
+                backward[s] += p * cut_rate[e] * backward[e]
         if not forward[n]:
             return
         for e in range(1, n + 1):
-            for s, kind, p, keep in spans[e - 1]:
-                x = forward[s] * p * keep * cut_rate[e] * backward[e] / forward[n]
+            for s, kind, p in spans[e - 1]:
+                x = forward[s] * p * cut_rate[e] * backward[e] / forward[n]
                 if x > 1e-6:
                     shape_counts[kind] += weight * x
         for i, d in enumerate(delimiters, 1):
@@ -164,8 +192,8 @@ class Model:
         score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for e in range(1, n + 1):
             edge = math.log(self.rate(delimiters[e - 1])) if e < n else 0.0
-            for s, _, p, keep in spans[e - 1]:
-                x = score[s] + math.log(p) + math.log(max(keep, 1e-300)) + edge
+            for s, _, p in spans[e - 1]:
+                x = score[s] + p + edge
                 if x > score[e]:
                     score[e], back[e] = x, s
         out, e = [], n

@@ -63,3 +63,21 @@ def test_very_long_field(spark):
     rows = [(i, "refs", "CVE-2091-1;CVE-2091-2") for i in range(50)] + [(99, "refs", ";".join(["CVE-2091-5"] * 3000))]
     got = packed.split_values(spark.createDataFrame(rows, "seq long, field_name string, value string")).where("seq = 99").count()
     assert got == 3000
+
+
+def test_items_of_many_atoms_stay_whole(spark):
+    deep = "https://github.example/org/repo/blob/main/src/main/java/com/acme/auth/Login.java"
+    prose = "Notes of the vendor about a flaw in the parser that all users read"
+    assert len(packed.lattice(deep)[1]) == 14 and len(packed.lattice(prose)[1]) == 14
+    special = {
+        1000: (deep, []),
+        1001: (f"CVE-2091-1; {deep}; https://a.example/x/y", ["CVE-2091-1", deep, "https://a.example/x/y"]),
+        1002: (prose, []),
+        1003: (f"{prose}; CVE-2091-1", [prose, "CVE-2091-1"]),
+        1004: (f"{deep}\n{deep}", [deep, deep]),
+        1005: ("; ".join([*["CVE-2091-1"] * 60, deep]), ["CVE-2091-1"] * 60 + [deep]),
+    }
+    rows = [*column()[0], *((k, "refs", v) for k, (v, _) in special.items())]
+    got = packed.split_values(spark.createDataFrame(rows, "seq long, field_name string, value string")).where("seq >= 1000").collect()
+    for k, (_, want) in special.items():
+        assert [r.item for r in sorted(got, key=lambda r: r.pos) if r.seq == k] == want, k
