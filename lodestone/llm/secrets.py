@@ -1,6 +1,7 @@
 """Problem 6: credentials in code, found by a logistic regression and masked.
 
-Candidates are tokens of the code with a digit, a mixed case or a special character, stripped of what is around the bare value: name
+Candidates are all quoted literals and assigned values after telling names, all passwords of addresses, and elsewhere tokens of the
+code with a digit, a mixed case or a special character, stripped of what is around the bare value: name
 and equals sign, option letters, scheme and user name of an address, quotes and tags. Private key blocks are candidates from their
 BEGIN to their END line.
 
@@ -39,6 +40,10 @@ _ASSIGNED = re.compile(r"(-{0,2}[A-Za-z_][\w.-]*)(?:=(?!=)|:(?!/|:))(?=[^=\s])")
 _ADDRESS = re.compile(r"[A-Za-z][\w+.-]*://([^:/@\s]*)(?::(.+))?@[^@/\s]")
 _OPTION = re.compile(r"-[pP](?=.{4})")
 
+_QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\r\n])+)\1""")
+_BOUND = re.compile(r"""(?<![=!<>])[=:][ \t]*(?![=:/])([^\s"'`<>(){}\[\],;|]+)(?=[\s,;|]|$)""")
+_HINT = re.compile(r"pass|pwd|secret|token|key|auth|credential|identified|basic|bearer", re.IGNORECASE)
+
 # Formats of well-known tokens.
 _FORMATS = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|sk_(?:live|test)_\w{16,}|gh[opsur]_\w{20,}|xox[abpsr]-[\w-]{20,}|AIza[\w-]{30,}|eyJ[\w-]+\.[\w-]+\.[\w-]+|glpat-[\w-]{20,}|npm_\w{30,}")
 # Names that announce a secret, and names that announce something else.
@@ -50,6 +55,16 @@ _CODE = re.compile(r"[a-z_.:/\d-]+|[\w.]+\(.*|[\d.:/-]+|[A-Z][A-Z0-9_]*|https?:/
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|==+|\|\||\?:|[=:,/@#*-]")
 
 
+# A telling name that is a look-up by name.
+_LOOKUP = re.compile(r"(?:get|fetch|read|load|lookup)\w*\(\W{0,3}$", re.IGNORECASE)
+#: Fixed examples (value, left, kind, label) of what may be rare in a sample: plain words as passwords, and names of the code in their place.
+_KNOWN = [
+    *((v, f"{n}{sign}{q}", "token", 1) for v in ("sunshine", "dragonfly", "Mountain", "letmein", "open-the-gate", "abc") for n, sign in (("password", " = "), ("db_password", " = "), ("secret", ": "), ("PASSWORD", "=")) for q in "'\""),
+    *((v, f"postgres://{u}:", "address", 1) for v in ("sunshine", "dragon", "letmein", "abc") for u in ("app", "root", "svc")),
+    *((v, f"{n}{sign}", "token", 0) for v in ("password", "user.password", "str", "None", "token", "config.secret", "true", "required", "value") for n in ("password", "token", "secret") for sign in (" = ", ": ")),
+]
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, what stands before on the line, kind) of each candidate; kind: block, public, address or token."""
     out, blocks = [], []
@@ -57,9 +72,10 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         for m in _BLOCK.finditer(text):
             blocks.append(m.span())
             out.append((*m.span(), "", "block" if m[2] == "PRIVATE" else "public"))
+    named = _named(text) if _HINT.search(text) else []
     for m in _TOKEN.finditer(text):
         token = m.group()
-        if _PLAIN.fullmatch(token) and (_BARE.fullmatch(token) or not re.search(r"[a-z]{1,3}[A-Z][^a-z]|[A-Z][a-z]+[A-Z]|[!%#~*+^]", token)):
+        if not _ADDRESS.search(token) and _PLAIN.fullmatch(token) and (_BARE.fullmatch(token) or not re.search(r"[a-z]{1,3}[A-Z][^a-z]|[A-Z][a-z]+[A-Z]|[!%#~*+^]", token)):
             continue
         start, end = m.span()
         if any(a <= start < b for a, b in blocks):
@@ -81,7 +97,27 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         if end - start >= 6 or kind == "address" and end > start:
             line = text.rfind("\n", 0, start) + 1
             out.append((start, end, text[max(line, start - _LEFT) : start], kind))
-    return out
+    # A literal after a telling name counts as a whole; one with blanks, an address or names of its own only if nothing is found inside.
+    for start, end in named:
+        if any(a < end and start < b for a, b in blocks):
+            continue
+        inner = [c for c in out if c[0] < end and start < c[1]]
+        if not inner or (start, end) not in {c[:2] for c in inner} and not re.search(r"\s|://|[A-Za-z_]\w*[=:]\S", text[start:end]):
+            out = [c for c in out if c not in inner]
+            out.append((start, end, text[max(text.rfind("\n", 0, start) + 1, start - _LEFT) : start], "token"))
+    return sorted(out)
+
+
+def _named(text: str) -> list[tuple[int, int]]:
+    """Quoted literals, and bare values after = or :, that stand after a telling name, of any letters and length."""
+    spans: list[tuple[int, int]] = []
+    for pattern, group in ((_QUOTED, 2), (_BOUND, 1)):
+        for m in pattern.finditer(text):
+            start, end = m.span(group)
+            left = text[max(text.rfind("\n", 0, start) + 1, start - _LEFT) : start]
+            if _TELLING.search(left) and not any(a < end and start < b for a, b in spans):
+                spans.append((start, end))
+    return spans
 
 
 def weak_label(value: str, left: str, kind: str) -> int | None:
@@ -96,7 +132,11 @@ def weak_label(value: str, left: str, kind: str) -> int | None:
         return 0
     telling = bool(_TELLING.search(left))
     if kind == "address":
-        return int(len(value) > 5 and not value.isalpha())
+        plain = len(value) <= 5 or value.isalpha()
+        # A plain word is a user name if it stands alone; after a user name it may be a password.
+        return 1 if not plain else 0 if left.endswith("//") else None
+    if _LOOKUP.search(left) or _bare_name(value, left):
+        return 0
     if telling and re.search(r"\d|[^\w]", value) and not re.fullmatch(r"[\w.]+\.\w+|[a-z/_-]+|\d+", value):
         return 1
     if not telling and _CODE.fullmatch(value):
@@ -119,7 +159,12 @@ def _dense(value: str, kind: str, path: str | None) -> list[float]:
     ]
 
 
-_DENSE = 21 + 2
+_DENSE = 21 + 2 + 2
+
+
+def _bare_name(value: str, left: str) -> bool:
+    """Whether the value reads as a name of the code: unquoted, without digits, after a sign and a blank."""
+    return bool(re.search(r"[=:][ \t]+$", left) and re.fullmatch(r"[A-Za-z_]+(?:\.[A-Za-z_]+)*", value))
 
 
 def _names(left: str) -> list[int]:
@@ -168,7 +213,7 @@ class SecretModel:
 
     def _row(self, value: str, left: str, kind: str, path: str | None) -> tuple[list[float], list[int]]:
         short = value if kind != "block" and kind != "public" else value[:64]
-        return _dense(short, kind, path) + self.chains.features(short), _names(left)
+        return _dense(short, kind, path) + self.chains.features(short) + [float(left[-1:] in ("'", '"', "`")), float(_bare_name(value, left))], _names(left)
 
     def score(self, value: str, left: str, kind: str, path: str | None) -> float:
         dense, hashed = self._row(value, left, kind, path)
@@ -226,6 +271,8 @@ def train(findings: DataFrame, rows: int = SAMPLE_ROWS) -> SecretModel:
                     label = weak_label(text[start:end], left, kind)
                     if label is not None:
                         examples.append((text[start:end], left, kind, path, label))
+    if examples:
+        examples = [*((v, left, kind, None, label) for v, left, kind, label in _KNOWN), *examples]
     return SecretModel().fit(examples)
 
 

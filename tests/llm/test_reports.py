@@ -202,6 +202,27 @@ def test_secrets_found_and_masked(spark):
     assert [x.secret_text for x in secrets.found_secrets(long, model).collect()] == ["sk_live_a9Kd83mdK20dkLm3Xc7q"]
 
 
+def test_literals_after_telling_names_of_any_letters(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(600):
+        form, value = r.choice(CODE)
+        lines = [x % r.getrandbits(40) if "%0" in x else x for x in r.sample(OTHER, 3)]
+        rows.append((i, "a/b.py", "\n".join([*lines[:2], form % value if i % 3 else "x = 1", lines[2]]), None))
+    cases = [
+        ('password = "sunshine"', "sunshine"), ('password = "correct-horse-battery"', "correct-horse-battery"), ("password = 'P@ssword'", "P@ssword"), ('db_password = "Pa$sWord"', "Pa$sWord"), ('password="Blue-lagoon"', "Blue-lagoon"), ('password = "hunterTwo"', "hunterTwo"),
+        ('password = "qwErtyui"', "qwErtyui"), ("DB_PASSWORD=Sunshine", "Sunshine"), ('password = "k9!"', "k9!"), ('password = "aB3(x;9"', "aB3(x;9"), ("url = 'postgres://app:sunshine@db.test/x'", "sunshine"),
+        ("password = user.password", None), ("password: str = None", None), ("password: ${DB_PASSWORD}", None), ('password = get_secret("ledger/prod")', None),
+    ]
+    rows += [(1000 + i, "a/b.py", text, None) for i, (text, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "seq long, file_path string, code_snippet string, remediation_code string")
+    model = secrets.train(df)
+    got = {(x.seq, x.secret_text) for x in secrets.found_secrets(df, model).collect() if x.seq >= 1000}
+    assert got == {(1000 + i, v) for i, (_, v) in enumerate(cases) if v}
+    clean = {x.seq: x.code_snippet for x in secrets.redacted(df, model).collect()}
+    assert all(clean[1000 + i] == (t.replace(v, secrets.MASK) if v else t) for i, (t, v) in enumerate(cases))
+
+
 def test_training_is_held_out_accurate():
     r = random.Random(5)
     rows = []
