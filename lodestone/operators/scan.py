@@ -141,13 +141,18 @@ def prioritised(files: DataFrame) -> DataFrame:
 def within_budget(files: DataFrame, most: int = 200_000, least_rest: int = 500) -> DataFrame:
     """path, content of the files that fit a budget of characters, in order of priority; the one that overflows is cut if enough is left.
 
-    Only the paths and lengths up to the budget are ordered: each file has a character at least, so a limit by the budget bounds the window.
+    Only the paths and lengths of files with text are ordered, up to the budget: each has a character at least, so a limit by the budget
+    bounds the window. Files without text come first in their class (priority, security) and start where the classes before it end.
     """
     order = ["priority", "security", "size", "path"]
     sized = prioritised(files).select(*order, F.length(F.coalesce("content", F.lit(""))).alias("n"))
-    short = sized.orderBy(*order).limit(most + 1)
+    short = sized.where("n > 0").orderBy(*order).limit(most + 1)
     before = short.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     rest = F.lit(most) - F.col("before")
+    empty, classes = sized.where("n = 0"), short.groupBy("priority", "security").agg(F.sum("n").alias("m"))
+    earlier = F.expr("c.priority < e.priority or c.priority = e.priority and c.security < e.security")
+    starts = empty.select("priority", "security").distinct().alias("e").join(classes.alias("c"), earlier, "left").groupBy("e.priority", "e.security").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
+    before = before.unionByName(empty.join(starts, ["priority", "security"]))
     kept = before.where((F.col("before") + F.col("n") <= most) | (rest > least_rest)).where(F.col("before") < most)
     return files.join(kept.select("path", *order[:3], rest.alias("rest"), "n"), "path").select(*order, F.when(F.col("n") > F.col("rest"), F.concat(F.substr("content", F.lit(1), F.col("rest").cast("int")), F.lit("\n... [TRUNCATED]"))).otherwise(F.col("content")).alias("content"))
 

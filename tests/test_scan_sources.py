@@ -138,3 +138,10 @@ def test_continuous_scan_and_windows(spark, tmp_path):
     assert len(seen) == len(plain_hits())
     events = spark.sql("select timestamp_seconds(x * 600) as ts, 'a' as event_type, cast(1 as double) as value from range(12) t(x)")
     assert sorted(r.n for r in continuous.windowed_counts(events).collect()) == [6, 6]
+
+
+def test_files_without_text_take_no_room_in_the_budget(spark):
+    empty = [(f"e{i:03}.py", "" if i % 2 else None) for i in range(100)]
+    df = spark.createDataFrame([*empty, ("a.py", "x" * 20), ("b.py", "y" * 30), ("c.py", "z" * 40)], "path string, content string")
+    kept = {r.path: r.content for r in scan.within_budget(df, 60, 50).collect()}
+    assert kept == {**dict(empty), "a.py": "x" * 20, "b.py": "y" * 30}
