@@ -11,8 +11,8 @@ number of trigrams. A batch title probes the index with its own two-character su
 verified. Nothing is lost, whatever the edits: the shared-trigram bound takes the place of an edit-distance bound, because the
 titles to be matched differ by whole appended phrases, which no edit distance of use would cover.
 
-Cost follows the batch: history is reduced by semi joins on the batch's ids and files before any segment is made, and a stored
-index (build_index, append_index) is read only where the batch's keys are. Equal titles of one file are one index entry with the
+Cost: history is read and normalised on each run, then reduced by semi joins on the batch's ids and files before any segment is made.
+An index can be stored (build_index, append_index), but no operator here probes a stored one. Equal titles of one file are one index entry with the
 earliest arrival, so repeated rows cost nothing.
 """
 
