@@ -28,7 +28,8 @@ LIMIT, OVERLAP = 2048, 128
 SENTENCE_ENDS = ".!?。！？…"
 CLAUSE_ENDS = ",;:，；：、"
 # Ends of lines and sentences, with the white space that belongs to the end.
-_ENDS = re.compile(r"\s*[\n\r]\s*|[.!?\u2026]+(?=\s)|[\u3002\uff01\uff1f]+")
+# No branch can begin inside a run that an earlier place has tried, so the search is linear on padding of any kind.
+_ENDS = re.compile(r"[\n\r]\s*+|(?<![.!?\u2026])[.!?\u2026]++(?=\s)|[\u3002\uff01\uff1f]++")
 BLANK_LINE, LINE, SENTENCE, CLAUSE, WORD, NONE = 5, 4, 3, 2, 1, 0
 
 
@@ -50,35 +51,30 @@ def _strength(before: str, after: str) -> int:
 def _units(coder: BacktrackingEncoder, words: list[str], sizes: list[int], most: int) -> list[tuple[int, int, int]]:
     """(start in characters, tokens, strength of the boundary before) of the atomic segments of a text in pre-tokens.
 
-    Only segments over `most` tokens are taken apart further, so the loop over single pre-tokens is the exception.
+    A segment over `most` tokens is taken apart at the ends of its clauses; parts still over it at all words, then at all pre-tokens,
+    then between characters. So the loop over single pre-tokens is the exception.
     """
     starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
     tokens = np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64, len(sizes)))])
     at = np.unique(np.searchsorted(starts, [m.end() for m in _ENDS.finditer("".join(words))]))
     at = [int(i) for i in at if 0 < i < len(words)]
-    todo = [(a, b, BLANK_LINE if a == 0 else _strength(words[a - 1], words[a])) for a, b in zip([0, *at], [*at, len(words)])]
     out: list[tuple[int, int, int]] = []
-    for a, b, strength in todo:
+
+    def add(a: int, b: int, strength: int, least: int) -> None:
         if tokens[b] - tokens[a] <= most:
             out.append((int(starts[a]), int(tokens[b] - tokens[a]), strength))
-            continue
-        # Blocks of a sixteenth of the limit that end at a word, or at any pre-token where no word ends nearby.
-        step, i = max(1, most // 16), a
-        while i < b:
-            here = strength if i == a else _strength(words[i - 1], words[i])
-            if sizes[i] > most:
-                # A pre-token over the limit (a long run of one kind of character) is cut between characters; each part is counted anew.
-                wide = max(1, most // 4)
-                for k in range(0, len(words[i]), wide):
-                    out.append((int(starts[i]) + k, coder.count(words[i][k : k + wide]), here if k == 0 else NONE))
-                i += 1
-                continue
-            j = max(i + 1, int(np.searchsorted(tokens, tokens[i] + step, "right")) - 1)
-            j = next((x for x in range(min(j, b), max(i, j - 24), -1) if x == b or _strength(words[x - 1], words[x]) >= CLAUSE), j)
-            j = next((x for x in range(min(j, b), max(i, j - 24), -1) if x == b or _strength(words[x - 1], words[x]) >= WORD), min(j, b))
-            j = next((x for x in range(i + 1, j) if sizes[x] > most), j)
-            out.append((int(starts[i]), int(tokens[j] - tokens[i]), here))
-            i = j
+        elif b - a == 1:
+            # A pre-token over the limit (a long run of one kind of character) is cut between characters; each part is counted anew.
+            wide = max(1, most // 4)
+            for k in range(0, len(words[a]), wide):
+                out.append((int(starts[a]) + k, coder.count(words[a][k : k + wide]), strength if k == 0 else NONE))
+        else:
+            inner = [(i, s) for i in range(a + 1, b) if (s := _strength(words[i - 1], words[i])) >= least]
+            for (i, s), (j, _) in zip([(a, strength), *inner], [*inner, (b, 0)]):
+                add(i, j, s, WORD if least == CLAUSE else NONE)
+
+    for a, b in zip([0, *at], [*at, len(words)]):
+        add(a, b, BLANK_LINE if a == 0 else _strength(words[a - 1], words[a]), CLAUSE)
     return out
 
 
@@ -126,7 +122,8 @@ def split_text(coder: BacktrackingEncoder, text: str, limit: int = LIMIT, overla
             start = _overlap_start(coder, text, words, word_sizes, word_starts, start, begin, overlap)
         tokens = coder.count(text[start:end])
         while tokens > limit and start < begin:
-            start += 1
+            # A token has at least one character's worth of bytes, so this rarely takes more than one step.
+            start = min(begin, start + tokens - limit)
             tokens = coder.count(text[start:end])
         pieces.append((start, begin, end, tokens))
     return pieces
@@ -141,12 +138,12 @@ def _overlap_start(coder: BacktrackingEncoder, text: str, words: list[str], size
             i -= 1
             held += sizes[i]
             strength = _strength(words[i - 1], words[i]) if i else BLANK_LINE
-            if best[0] < strength or held * 4 < overlap * 3:
+            if best[0] <= strength or held * 4 < overlap * 3:
                 best = (strength, int(word_starts[i]))
     if held * 4 >= overlap * 3 or i == 0 or int(word_starts[i]) == least:
         return best[1]
     # A long pre-token stands before the cut: its last tokens, from a whole character on.
-    start = max(least, cut - 8 * overlap)
+    start = max(least, cut - coder.most * overlap)
     ids = coder.encode(text[start:cut])
     back = len(coder.decode_bytes(ids[-overlap:]).decode("utf-8", "ignore"))
     return max(start, cut - back)

@@ -114,3 +114,15 @@ def test_documents_table(spark, coder):
     got = chunking.split_documents(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece_no")).collect()
     assert {r.doc_id for r in got} == {d for d, t in rows if t and coder.count(t) > 2048}
     assert len([r for r in got if r.doc_id == 1 and r.piece_no == 1]) == 2
+
+
+@needs_vocabulary
+def test_padding_of_any_kind_is_split_in_linear_time(coder):
+    import time
+
+    for t in (" " * 200_000 + "x", "word " * 3000 + " " * 200_000 + "y", "." * 200_000 + "x ", "\n \t" * 60_000 + "x", "so it goes, " * 20_000):
+        begun = time.time()
+        pieces = chunking.split_text(coder, t)
+        assert time.time() - begun < 10
+        assert "".join(t[m:e] for _, m, e, _ in pieces) == t and all(n <= 2048 for *_, n in pieces)
+        assert all(64 <= coder.count(t[s:m]) <= 130 for s, m, _, _ in pieces[1:])
