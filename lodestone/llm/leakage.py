@@ -27,6 +27,10 @@ MOST_Q = 8
 BAND = 8
 MOST_ITEMS = 20_000
 PORTION = 4 << 20
+#: Places of eight-byte q-grams of a document that are looked up: every so many.
+STRIDE = 4
+#: Hits that are written out at a time.
+MOST_HITS = 4 << 20
 _BITS = 20
 _WORD = re.compile(r"[^\W_]+")
 
@@ -35,27 +39,46 @@ def plain(text: str | None) -> str:
     return " ".join(_WORD.findall(text)).lower() if text else ""
 
 
-class QGramFilter:
-    """Finds the items' passages in plain() documents."""
+def _windows(text: str, words: int) -> list[tuple[int, int]]:
+    """Begin and end in bytes of the windows of `words` words of a plain text."""
+    data = text.encode()
+    blanks = [i for i, b in enumerate(data) if b == 32]
+    starts, ends = [0, *(i + 1 for i in blanks)], [*blanks, len(data)]
+    return list(zip(starts, ends[words - 1 :])) if data else []
+
+
+class Passages:
+    """Finds the items' passages in plain() documents: one filter for all items that can have the same q and stride, so a few items of
+    short words do not shorten the q-grams of the others."""
 
     def __init__(self, items: list[tuple[int, str]], words: int = WORDS, edits: int = EDITS):
-        self.words, self.edits = words, edits
-        self.ids, self.texts, self.windows = [], [], []
+        kinds: dict[tuple[int, int], list] = {}
         for key, text in items:
             t = plain(text)
-            starts = [0] + [m.end() for m in re.finditer(" ", t)]
-            ends = [m.start() for m in re.finditer(" ", t)] + [len(t)]
-            if len(starts) >= words and t:
-                data = t.encode()
-                at = [len(t[:i].encode()) for i in starts], [len(t[:i].encode()) for i in ends]
-                self.ids.append(key)
-                self.texts.append(np.frombuffer(data, np.uint8))
-                self.windows.append([(a, b) for a, b in zip(at[0], at[1][words - 1 :])])
-        shortest = [min(b - a for a, b in w) for w in self.windows]
-        self.q = max(1, min([MOST_Q, *(s // (edits + 1) for s in shortest)]))
+            windows = _windows(t, words)
+            if windows:
+                shortest = min(b - a for a, b in windows)
+                q = max(1, min(MOST_Q, shortest // (edits + 1)))
+                # See QGramFilter: the wide stride needs windows of which, after all edits, a looked-up q-gram is left for certain.
+                wide = q == MOST_Q and shortest - q + 1 - edits * q - (STRIDE - 1) * (edits + 1) >= 1
+                kinds.setdefault((q, STRIDE if wide else 1), []).append((key, t, windows))
+        self.filters = [QGramFilter(some, q, stride, words, edits) for (q, stride), some in sorted(kinds.items())]
+
+    def search(self, docs: list[bytes]) -> list[tuple[int, int, int, int]]:
+        """(document, item id, longest exact run in words, fewest edits of a window) of each item that a document holds."""
+        return sorted(x for f in self.filters for x in f.search(docs))
+
+
+class QGramFilter:
+    """Finds passages of items (id, plain text, windows) in plain() documents."""
+
+    def __init__(self, items: list[tuple[int, str, list[tuple[int, int]]]], q: int, stride: int, words: int = WORDS, edits: int = EDITS):
+        self.words, self.edits, self.q = words, edits, q
+        self.ids, self.windows = [i for i, _, _ in items], [w for _, _, w in items]
+        self.texts = [np.frombuffer(t.encode(), np.uint8) for _, t, _ in items]
         # Of q-grams of eight bytes only those at every fourth place of the documents are looked up. The q-grams that `edits` edits leave
         # to a window are in edits + 1 runs at most, and a run of r has at least (r - 3) / 4 of those places.
-        self.stride = 4 if self.q == MOST_Q else 1
+        self.stride = stride
         # Of each window: the places of its q-grams, and how many of those looked up must be found.
         self.bounds, self.full = [], []
         for w in self.windows:
@@ -96,9 +119,14 @@ class QGramFilter:
     def _slot(g: np.ndarray) -> np.ndarray:
         return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    def regions(self, docs: list[bytes]) -> list[tuple[int, int, int]]:
-        """(document, item, first diagonal of the band) that reach the bound; diagonal = place in the document - place in the item."""
-        if not self.texts or not docs:
+    def regions(self, docs: list[bytes], low_item: int = 0, high_item: int | None = None) -> list[tuple[int, int, int]]:
+        """(document, item, first diagonal of the band) that reach the bound; diagonal = place in the document - place in the item.
+
+        Hits are counted before they are written out. Over MOST_HITS the documents are taken in halves, a single document in two parts
+        that overlap by more than the longest item, or, if it is short, the items in halves.
+        """
+        high_item = len(self.texts) if high_item is None else high_item
+        if low_item == high_item or not docs:
             return []
         data = b"\n".join(docs)
         starts = np.cumsum([0] + [len(d) + 1 for d in docs[:-1]])
@@ -115,10 +143,26 @@ class QGramFilter:
         at, low, times = at[times > 0], low[times > 0], times[times > 0]
         if not len(at):
             return []
+        if int(times.sum()) > MOST_HITS:
+            half, room = len(docs) // 2, 2 * (self.longest + BAND + self.edits)
+            if half:
+                return self.regions(docs[:half], low_item, high_item) + [(half + d, i, f) for d, i, f in self.regions(docs[half:], low_item, high_item)]
+            if len(docs[0]) > 4 * room:
+                begin = len(docs[0]) // 2 // STRIDE * STRIDE
+                left, right = self.regions([docs[0][: begin + room]], low_item, high_item), self.regions([docs[0][begin:]], low_item, high_item)
+                return left + [(d, i, f + begin) for d, i, f in right]
+            if high_item - low_item > 1:
+                middle = (low_item + high_item) // 2
+                return self.regions(docs, low_item, middle) + self.regions(docs, middle, high_item)
         doc = np.searchsorted(starts, at, "right") - 1
         entry = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         item, diagonal = self.item[entry], np.repeat(at - starts[doc], times) - self.place[entry] + self.longest
         doc = np.repeat(doc, times)
+        if high_item - low_item < len(self.texts):
+            mine = (item >= low_item) & (item < high_item)
+            entry, item, diagonal, doc = entry[mine], item[mine], diagonal[mine], doc[mine]
+            if not len(entry):
+                return []
         key = (doc.astype(np.int64) << 41) | (item.astype(np.int64) << 26)
         half = BAND // 2
         # Band b holds the diagonals b * half to b * half + BAND - 1, so each diagonal is in two bands.
@@ -263,7 +307,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, words: int = WORDS,
         shared = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in block.collect()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            finder = QGramFilter(shared.value, words, edits)
+            finder = Passages(shared.value, words, edits)
             for b in batches:
                 keys = b.column(0)
                 found = finder.search([plain(t).encode() for t in b.column(1).to_pylist()])

@@ -53,6 +53,11 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(f"exact_words >= {leakage.WORDS}").select("doc_id", "item_id")
 
 
+def p8_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of 12 words within two character edits, the exact ones included."""
+    return leakage.leaked_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("doc_id", "item_id", "edits")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_documents(table(spark, sf, "documents")).where("piece_no = 1").select("doc_id")
 
@@ -61,7 +66,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_documents(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p5_found, p5_groups, p6_found, p6_redacted, p7_ids, p8_found, p9_found, p9_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p5_found, p5_groups, p6_found, p6_redacted, p7_ids, p8_found, p8_passages, p9_found, p9_pieces)}
 
 _SPELLED = r"regexp_replace(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '[\\/]+', '/', 'g')"
 _PLACED = (
@@ -117,6 +122,17 @@ i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FR
 dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
 ig AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+""",
+    # A window within two edits keeps one of its thirds, so the first 16 characters of one of them; no window of the items is under 51.
+    "p8_passages": """
+WITH d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') AS t FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw WHERE len(w) >= 12)),
+parts AS (SELECT item_id, s, n, off, substr(s, off + 1, 16) AS g FROM (SELECT item_id, s, len(s) AS n, unnest([0, len(s) // 3, 2 * (len(s) // 3)]) AS off FROM win)),
+grams AS (SELECT doc_id, t, k, substr(t, k, 16) AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 14)) AS k FROM d)),
+near AS (SELECT DISTINCT doc_id, t, item_id, s, n, k - off AS start FROM grams JOIN parts USING (g)),
+tried AS (SELECT doc_id, item_id, s, levenshtein(substr(t, b, least(len(t), e) - b + 1), s) AS x FROM (SELECT doc_id, t, item_id, s, greatest(1, start + a) AS b, start + n - 1 + z AS e FROM near, (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-2, 3)) AS z)))
+SELECT doc_id, item_id, min(x)::INT AS edits FROM tried GROUP BY 1, 2 HAVING min(x) <= 2
 """,
 }
 

@@ -79,7 +79,7 @@ def test_leaks_equal_a_plain_search(spark):
 
 def test_small_edits_are_within_the_budget():
     item = "the quick parser refuses every third token when a hidden counter drops below nine and stops the worker at once"
-    f = leakage.QGramFilter([(1, item)])
+    f = leakage.Passages([(1, item)])
     edited = item.replace("hidden", "hiden").replace("counter", "countter")
     assert [x[1] for x in f.search([leakage.plain("before it " + edited + " after")[:].encode()])] == [1]
     assert f.search([leakage.plain(" ".join(reversed(item.split()))).encode()]) == []
@@ -126,3 +126,43 @@ def test_padding_of_any_kind_is_split_in_linear_time(coder):
         assert time.time() - begun < 10
         assert "".join(t[m:e] for _, m, e, _ in pieces) == t and all(n <= 2048 for *_, n in pieces)
         assert all(64 <= coder.count(t[s:m]) <= 130 for s, m, _, _ in pieces[1:])
+
+
+def fewest(text, window):
+    """Edits of the part of the text that is nearest to the window."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(window, 1):
+        before, row = row, [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(before[j - 1] + (c != d), before[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def test_edited_passages_equal_a_plain_search_for_short_and_long_words(monkeypatch):
+    r = random.Random(8)
+    short, long = list("abcdefghij"), ["parser", "token", "counter", "worker", "hidden", "drops", "ledger"]
+    items = [(i, " ".join(r.choices(short if i % 3 == 0 else long, k=r.randint(12, 16)))) for i in range(9)]
+    docs = []
+    for i in range(60):
+        t = list(r.choice(items)[1])
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(t))
+            t[k : k + 1] = r.choice([[], ["z"], [t[k], "y"]])
+        docs.append(leakage.plain(" ".join(r.choices(long, k=5)) + " " + "".join(t) + " " + " ".join(r.choices(short, k=5))))
+    want = {}
+    for d, t in enumerate(docs):
+        for i, x in items:
+            x = leakage.plain(x)
+            n = min(fewest(t, x[a:b]) for a, b in leakage._windows(x, 12))
+            if n <= 2:
+                want[d, i] = n
+    f = leakage.Passages(items)
+    assert len(f.filters) > 1
+    got = {(d, i): e for d, i, _, e in f.search([t.encode() for t in docs])}
+    assert got == want and len(set(want.values())) == 3
+    monkeypatch.setattr(leakage, "MOST_HITS", 50)
+    assert {(d, i): e for d, i, _, e in leakage.Passages(items).search([t.encode() for t in docs])} == want
+    one = [" ".join(docs).encode()]
+    small = leakage.Passages(items).search(one)
+    monkeypatch.setattr(leakage, "MOST_HITS", 1 << 22)
+    assert small == leakage.Passages(items).search(one)
