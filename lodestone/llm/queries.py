@@ -24,6 +24,11 @@ def p2_records(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.surviving_records(table(spark, sf, "findings"), table(spark, sf, "source_trust"))
 
 
+def p2_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Completeness by the number of usable fields: later layers supply values."""
+    return survivor.survivors(table(spark, sf, "findings"), table(spark, sf, "source_trust"), "count")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_entries(table(spark, sf, "findings"), table(spark, sf, "cwe_catalog"), table(spark, sf, "owasp_catalog"))
 
@@ -66,7 +71,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_documents(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p5_found, p5_groups, p6_found, p6_redacted, p7_ids, p8_found, p8_passages, p9_found, p9_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_records, p2_layers, p3_found, p5_found, p5_groups, p6_found, p6_redacted, p7_ids, p8_found, p8_passages, p9_found, p9_pieces)}
 
 _SPELLED = r"regexp_replace(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '[\\/]+', '/', 'g')"
 _PLACED = (
@@ -79,7 +84,29 @@ placed AS (SELECT p.file_path, array_to_string(p.parts[coalesce(m.i, 1):], '/')
 )
 _ID = r"nullif(lower(regexp_replace(finding_id, '^\s+|\s+$', '', 'g')), '')"
 
+_GONE = "('', 'n/a', 'null', 'unknown', 'tbd', '-', '--', '?', 'none', 'todo')"
+_CELLS = f"""
+rows AS (
+  SELECT f.seq, {_ID} AS finding_key, coalesce(t.trust_rank, 2000000000) AS r, coalesce(found_at, '-infinity'::DOUBLE) AS found, confidence, f.source, cwe_id, remediation,
+    coalesce(confidence > 0 AND confidence <= 1, false) AS c_ok, f.source IS NOT NULL AS s_ok, coalesce(lower(trim(cwe_id)) NOT IN {_GONE}, false) AS w_ok, coalesce(lower(trim(remediation)) NOT IN {_GONE}, false) AS m_ok
+  FROM findings f LEFT JOIN source_trust t ON lower(regexp_replace(f.source, '^\\s+|\\s+$', '', 'g')) = t.source
+), many AS (SELECT finding_key FROM rows WHERE finding_key IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+cells AS (
+  SELECT finding_key, 'confidence' AS field_name, seq, r, found, c_ok AS ok FROM rows UNION ALL SELECT finding_key, 'source', seq, r, found, s_ok FROM rows
+  UNION ALL SELECT finding_key, 'cwe_id', seq, r, found, w_ok FROM rows UNION ALL SELECT finding_key, 'remediation', seq, r, found, m_ok FROM rows
+)"""
+_WON = "SELECT finding_key, field_name, seq FROM cells JOIN many USING (finding_key) WHERE ok QUALIFY row_number() OVER (PARTITION BY finding_key, field_name ORDER BY r, found DESC, seq) = 1"
+
 ORACLES: dict[str, str] = {
+    "p2_found": f"WITH {_CELLS} {_WON}",
+    "p2_records": f"""WITH {_CELLS}, won AS ({_WON}) SELECT w.finding_key, max(confidence) FILTER (field_name = 'confidence') AS confidence, max(cwe_id) FILTER (field_name = 'cwe_id') AS cwe_id,
+max(remediation) FILTER (field_name = 'remediation') AS remediation, max(source) FILTER (field_name = 'source') AS source FROM won w JOIN rows r ON w.seq = r.seq GROUP BY 1""",
+    "p2_layers": f"""WITH RECURSIVE {_CELLS},
+points AS (SELECT r.*, c_ok::INT + s_ok::INT + w_ok::INT + m_ok::INT AS full_fields FROM rows r JOIN many USING (finding_key) QUALIFY row_number() OVER (PARTITION BY finding_key, r, c_ok, s_ok, w_ok, m_ok ORDER BY found DESC, seq) = 1),
+above AS (SELECT a.seq AS high, b.seq AS low FROM points a JOIN points b ON a.finding_key = b.finding_key AND a.seq <> b.seq AND a.r <= b.r AND (a.found > b.found OR a.found = b.found AND a.seq < b.seq) AND a.full_fields >= b.full_fields),
+steps AS (SELECT seq, 1 AS layer FROM points UNION SELECT low, layer + 1 FROM steps JOIN above ON high = seq),
+layers AS (SELECT seq, max(layer)::INT AS layer FROM steps GROUP BY 1)
+SELECT c.finding_key, field_name, c.seq, layer FROM cells c JOIN points p ON p.seq = c.seq JOIN layers l ON l.seq = c.seq WHERE ok QUALIFY row_number() OVER (PARTITION BY c.finding_key, field_name ORDER BY layer, c.r, c.found DESC, c.seq) = 1""",
     "p1_found": f"""
 WITH {_PLACED},
 reports AS (
@@ -92,20 +119,6 @@ SELECT DISTINCT b.seq FROM grams b JOIN grams h ON h.arrival < b.arrival AND h.i
 UNION
 SELECT DISTINCT b.seq FROM grams b JOIN grams h ON h.arrival < b.arrival AND h.file_key = b.file_key AND h.nums = b.nums
 WHERE b.batched AND len(b.g) > 0 AND len(list_intersect(b.g, h.g)) * 3 >= len(b.g) + len(h.g)
-""",
-    "p2_found": f"""
-WITH rows AS (
-  SELECT f.seq, {_ID} AS finding_key, coalesce(t.trust_rank, 2000000000) AS r, coalesce(found_at, '-infinity'::DOUBLE) AS found, confidence, f.source, cwe_id, remediation
-  FROM findings f LEFT JOIN source_trust t ON lower(regexp_replace(f.source, '^\\s+|\\s+$', '', 'g')) = t.source
-), many AS (SELECT finding_key FROM rows WHERE finding_key IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
-cells AS (
-  SELECT finding_key, 'confidence' AS field_name, seq, r, found, confidence > 0 AND confidence <= 1 AS ok FROM rows
-  UNION ALL SELECT finding_key, 'source', seq, r, found, source IS NOT NULL FROM rows
-  UNION ALL SELECT finding_key, 'cwe_id', seq, r, found, lower(trim(cwe_id)) NOT IN ('', 'n/a', 'null', 'unknown', 'tbd', '-', '--', '?', 'none', 'todo') FROM rows
-  UNION ALL SELECT finding_key, 'remediation', seq, r, found, lower(trim(remediation)) NOT IN ('', 'n/a', 'null', 'unknown', 'tbd', '-', '--', '?', 'none', 'todo') FROM rows
-)
-SELECT finding_key, field_name, seq FROM cells JOIN many USING (finding_key) WHERE ok
-QUALIFY row_number() OVER (PARTITION BY finding_key, field_name ORDER BY r, found DESC, seq) = 1
 """,
     "p5_found": f"""
 WITH {_PLACED},

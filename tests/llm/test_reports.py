@@ -95,9 +95,21 @@ def test_survivors_equal_the_stated_order(spark):
 
 
 def test_layers(spark):
-    pts = "array(struct(1 as rank, 5d as at, 1L as seq), struct(2 as rank, 9d as at, 2L as seq), struct(3 as rank, 4d as at, 3L as seq), struct(4 as rank, 3d as at, 4L as seq))"
-    got = spark.sql(f"select {pts} as p").select(survivor.layered(survivor.F.col("p")).alias("l")).first().l
-    assert [x.layer for x in got] == [1, 1, 2, 3]
+    pts = "array(struct(1 as rank, -5d as neg_at, 1L as seq, 7 as has), struct(2 as rank, -9d as neg_at, 2L as seq, 1 as has), struct(3 as rank, -4d as neg_at, 3L as seq, 8 as has), struct(4 as rank, -3d as neg_at, 4L as seq, 3 as has))"
+    rows = spark.sql(f"select {pts} as p")
+    layers = {c: [x.layer for x in rows.select(survivor.layered(survivor.F.col("p"), c).alias("l")).first().l] for c in ("fields", "count")}
+    assert layers == {"fields": [1, 1, 1, 2], "count": [1, 1, 2, 2]}
+
+
+def test_later_layers_supply_what_the_first_lacks(spark):
+    rows = [(1, "a", "trivy", 0.5, None, "fix", 9.0), (2, "A ", "trivy", None, "CWE-7", None, 5.0), (3, "a", "semgrep", 0.9, None, "else", 7.0), (4, "lone", "trivy", 0.5, "CWE-1", "fix", 1.0)]
+    df = spark.createDataFrame(rows, "seq long, finding_id string, source string, confidence double, cwe_id string, remediation string, found_at double")
+    t = spark.createDataFrame([("trivy", 1), ("semgrep", 2)], "source string, trust_rank int")
+    for how, layer in (("count", 2), ("fields", 1)):
+        got = {x.field_name: (x.seq, x.layer) for x in survivor.survivors(df, t, how).collect()}
+        assert got == {"confidence": (1, 1), "source": (1, 1), "remediation": (1, 1), "cwe_id": (2, layer)}
+    record = survivor.surviving_records(df, t, "count").collect()
+    assert [tuple(x) for x in record] == [("a", 0.5, "CWE-7", "fix", "trivy")]
 
 
 def test_canonical_entries(spark):
