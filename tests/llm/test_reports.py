@@ -62,12 +62,44 @@ def test_known_reports_equal_a_plain_search(spark):
     assert alone <= want
 
 
-def test_index_is_stored_and_appended(spark, tmp_path):
-    rows = history_dedup.keyed_reports(spark.createDataFrame(reports(4, 50, 0), SCHEMA), scans(spark), history_dedup.F.lit(-1))
-    index = history_dedup.build_index(rows)
-    history_dedup.write_index(index, str(tmp_path / "i"), 8)
-    history_dedup.append_index(index, str(tmp_path / "i"), 8)
-    assert spark.read.parquet(str(tmp_path / "i")).count() == 2 * index.count() > 0
+def test_deliveries_batch_by_batch_read_only_their_partitions(spark, tmp_path):
+    old, new = reports(4, 60, 0), reports(5, 60, 1000)
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    keyed = lambda rows: history_dedup.keyed_reports(frame(rows), scans(spark), history_dedup.F.lit(-1))
+    path = str(tmp_path / "index")
+    history_dedup.append_index(keyed(old), path, 16)
+    got = [r.seq for part in (new[:20], new[20:45], new[45:]) for r in history_dedup.deliver(frame(part), scans(spark), path, 16).collect()]
+    assert sorted(got) == sorted(r.seq for r in history_dedup.known_reports(frame(new), frame(old), scans(spark)).collect())
+    assert history_dedup.deliver(frame(new), scans(spark), path, 16).count() >= len(got)
+
+    def bytes_read(history):
+        at = str(tmp_path / f"index-{len(history)}")
+        history_dedup.append_index(keyed(history), at, 64)
+        batch = history_dedup.keyed_reports(frame(old[:4]), scans(spark), history_dedup.F.col("seq"))
+        files = {f for t in history_dedup.read_index(at, batch, 64).values() for f in t.select("_metadata.file_path", "_metadata.file_size").distinct().collect()}
+        return sum(f.file_size for f in files)
+
+    # History of other files and ids does not add to what a batch reads, but for keys that share a partition with the batch's.
+    others = [(5000 + i, f"other{i}", f"desk-7/other/{i}.c", f"flaw of the module {'abcdefgh'[i % 8]}", 1, "x") for i in range(2)]
+    twice = [(7000 + i, f"more{i}", f"desk-7/more/{i}.c", f"flaw of the module {'abcdefgh'[i % 8]}", 1, "x") for i in range(400)]
+    assert bytes_read([*old, *others]) * 1.5 > bytes_read([*old, *others, *twice])
+
+
+def test_segments_within_the_edit_bound_are_always_met(spark):
+    r = random.Random(6)
+    pairs = []
+    for i in range(400):
+        t = "".join(r.choices("abc ", k=r.randint(3, 14)))
+        u = list(t)
+        for _ in range(r.randint(0, history_dedup.EDITS)):
+            k = r.randrange(len(u) + 1)
+            u[k : k + r.randint(0, 1)] = r.choice([[], ["c"], ["a"]])
+        pairs.append((str(i), "", t, "".join(u)))
+    df = spark.createDataFrame(pairs, "file_key string, nums string, stored string, probe string").where("length(probe) >= 3")
+    stored = history_dedup.stored_segments(df.selectExpr("file_key", "nums", "stored as title_key", "1 as arrival"))
+    asked = history_dedup.probed_segments(df.selectExpr("file_key", "nums", "probe as title_key"))
+    met = {x.file_key for x in asked.join(stored, ["file_key", "nums", "n", "number", "segment"]).collect()}
+    assert met == {x.file_key for x in df.collect()}
 
 
 def test_survivors_equal_the_stated_order(spark):
