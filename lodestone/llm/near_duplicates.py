@@ -8,58 +8,57 @@ that each symbol of two reports agrees with the probability of their similarity
 that most rows of a block have: they are part of the similarity that defines a pair. The distance of two fingerprints is the number
 of symbols that differ.
 
-Tables. The fingerprint is cut into segments, each with a table keyed by the block (file and lines) and the segment's content. Rows
-that share a key are candidates; their complete distance is verified, then the exact similarity.
+Tables. The fingerprint is cut into segments that cover it whole, each with a table keyed by the block (file and lines) and the segment's
+content. Of each segment the Hamming ball of radius 1 is enumerated: one key for each symbol left open, which covers all contents that
+differ in that symbol only. Rows that share a key are candidates; their complete distance, over all symbols, is verified, then the
+exact similarity.
 
-Segments are as long as the block asks for, by the usual rule that a segment should have about log2(rows of the block) bits. In
-blocks of up to HOT rows they have two symbols, and the Hamming ball of radius 1 is enumerated: one key for each symbol left open,
-which covers all contents that differ in that symbol only. In larger ones they have five symbols, no ball, and there are more of them:
-keys of fewer symbols would make reports collide that have only boilerplate in common. Expected recall depends on the similarity only,
-not on how common the shared words are: above 0.999 at 0.6, in cold and hot blocks, and more above. Tests and README hold figures
-against brute force.
+Segments are as long as the block asks for, by the usual rule that what is looked up should have about log2(rows of the block) bits. In
+blocks of up to HOT rows: 16 segments of 2 symbols, so by the pigeonhole principle every pair at a distance of up to 31 of 32 is met. In
+larger ones: 26 segments of 6, since keys of fewer symbols would make reports collide that have only boilerplate in common; a pair is met
+if a segment of it differs in one symbol at most. Expected recall depends on the similarity only, not on how common the shared words are:
+0.999 at 0.6, and above that more. Tests and README hold figures against brute force.
 
 Lines: block number = line / 6. Rows at most 5 lines apart are in the same or in neighbouring blocks; each row is entered in its
 own block, and carried into the next.
 
-Movement. Block sizes are counted first, from ids, paths and lines only. Hot blocks (more than HOT rows, or more if there were over
-MOST_HOT of them: so the list that is broadcast has a fixed bound, and a cold block at most max(HOT, rows / MOST_HOT) rows) have
-their tables spread over the cluster, by table key; a task holds the entries of some keys at a time, at least those of one. Rows of
-cold blocks move once, by stretches of 64 blocks of a file, and meet their tables within the task, in bounded portions. Project
-directories are looked up in a broadcast set if there are at most MOST_TARGETS, else by a join.
+Movement. Block sizes are counted first, from ids, paths and lines only; the hot ones (more than HOT rows) are written as a table, which
+the optimizer broadcasts if its files are small and joins by block otherwise. Hot blocks have their tables spread over the cluster, by
+table key; a task holds the entries of some keys at a time, at least those of one. Rows of cold blocks move once, by stretches of 64
+blocks of a file, and meet their tables within the task, in bounded portions. Project directories are looked up in a broadcast set if
+there are at most MOST_TARGETS, else by a join.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import spelled, with_file_key
 from ..functions.text import key_or_null
-from ..session import cut
+from ..session import checkpoint_dir, cut
 
 THRESHOLD, LINES = 0.6, 5
-#: Symbols that are carried along to verify the distance, in cold blocks.
-SHOWN = 32
 #: Rows of a block from which it is hot.
 HOT = 256
-#: Most hot blocks (8 bytes each are broadcast), and most project directories looked up in memory.
-MOST_HOT, MOST_TARGETS = 1_000_000, 1_000_000
+#: Most project directories looked up in memory (some 3 MB).
+MOST_TARGETS = 100_000
 #: Symbols in a segment and number of segments, in cold and in hot blocks.
-COLD_SEGMENT, COLD_SEGMENTS = 2, 4
-HOT_SEGMENT, HOT_SEGMENTS = 5, 96
-#: Tables whose keys are sent on at a time.
-AT_ONCE = 12
-#: Least number of agreeing symbols of a candidate (expected at similarity 0.6: 19 of 32, standard deviation 2.8).
-AGREEING = 8
-#: The same in hot blocks, where one bit of each of so many symbols is carried along: most bits that differ (expected at 0.6: 51, standard deviation 6.4).
-HOT_SHOWN, HOT_DIFFERING = 256, 77
+COLD_SEGMENT, COLD_SEGMENTS = 2, 16
+HOT_SEGMENT, HOT_SEGMENTS = 6, 26
+#: Segments whose keys are sent on at a time.
+AT_ONCE = 2
+#: Least number of agreeing symbols of a candidate in cold blocks (expected at similarity 0.6: 19 of 32, standard deviation 2.8).
+AGREEING = 9
+#: In hot blocks one bit of each symbol is carried along, to verify the distance: most bits that differ (expected at 0.6: 31 of 156, standard deviation 5).
+HOT_DIFFERING = 51
 
-_SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (2, 48), dtype=np.uint64)
-_SEEDS = np.concatenate([_SEEDS, np.random.default_rng(20240301).integers(1, 2**63, (2, HOT_SEGMENT * HOT_SEGMENTS - 48), dtype=np.uint64)], axis=1)
+_SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (2, HOT_SEGMENT * HOT_SEGMENTS), dtype=np.uint64)
 
 
 def _words(title: str | None, description: str | None) -> set[str]:
@@ -100,10 +99,10 @@ def fingerprints(sets: list[list[int]], symbols: int = HOT_SEGMENT * HOT_SEGMENT
     return out
 
 
-def _table_keys(block: np.ndarray, prints: np.ndarray, size: int, many: int) -> list[np.ndarray]:
-    """For each segment and each symbol left open: the table keys of all rows."""
+def _table_keys(block: np.ndarray, prints: np.ndarray, size: int, segments: range) -> list[np.ndarray]:
+    """For each of the segments and each symbol left open: the table keys of all rows."""
     part, keys = prints.astype(np.uint64), []
-    for s in range(many):
+    for s in segments:
         for left_out in range(size):
             key = block ^ np.uint64(s * 16 + left_out + 1)
             for j in range(size):
@@ -114,14 +113,6 @@ def _table_keys(block: np.ndarray, prints: np.ndarray, size: int, many: int) ->
     return keys
 
 
-def _mixed(key: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """Keys with the symbols of part (a row for each key) mixed in."""
-    for j in range(part.shape[1]):
-        key = (key ^ part[:, j].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        key ^= key >> np.uint64(29)
-    return key
-
-
 def _alike(a: set[str], b: set[str]) -> bool:
     common = len(a & b)
     return common > 0 and common >= THRESHOLD * (len(a) + len(b) - common)
@@ -157,10 +148,10 @@ def _located(batch: pa.RecordBatch, targets: frozenset[str] | None, known: dict[
 def _pairs_within(row: np.ndarray, own: int, seq: np.ndarray, ids: list[str], line: np.ndarray, words: list[set[str]], block: np.ndarray) -> set[tuple[int, int]]:
     """Alike pairs of rows of whole cold blocks, by tables sorted in memory. Entry i puts row[i] into block[i]; the first `own` are no carried ones."""
     cache = _Hashes()
-    prints = fingerprints([[cache[w] for w in s] for s in words], SHOWN)
+    prints = fingerprints([[cache[w] for w in s] for s in words], COLD_SEGMENT * COLD_SEGMENTS)
     tried: set[tuple[int, int]] = set()
     found: set[tuple[int, int]] = set()
-    for keys in _table_keys(block, prints[row], COLD_SEGMENT, COLD_SEGMENTS):
+    for keys in _table_keys(block, prints[row], COLD_SEGMENT, range(COLD_SEGMENTS)):
         order = np.argsort(keys, kind="stable")
         keys, step = keys[order], 1
         # Entries of one key stand together; each is compared with the next ones as long as the key is the same.
@@ -258,11 +249,13 @@ def _hot_pairs(rows: DataFrame) -> DataFrame:
         for b in batches:
             prints = fingerprints([[cache[w] for w in ws] for ws in b.column("words").to_pylist()])
             block = b.column("block").to_numpy().view(np.uint64)
-            again = pa.array(np.tile(np.arange(b.num_rows), AT_ONCE))
-            shown = pa.array([x.tobytes() for x in np.packbits(prints[:, :HOT_SHOWN] & 1, axis=1)], pa.binary()).take(again)
+            again = pa.array(np.tile(np.arange(b.num_rows), AT_ONCE * HOT_SEGMENT))
+            bits = np.packbits(prints & 1, axis=1)
+            bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))
+            shown = pa.array([x.tobytes() for x in bits], pa.binary()).take(again)
             kept = [b.column(n).take(again) for n in ("block", "seq", "carried")]
             for first in range(0, HOT_SEGMENTS, AT_ONCE):
-                keys = [_mixed(block ^ np.uint64(s + 1), prints[:, s * HOT_SEGMENT : (s + 1) * HOT_SEGMENT]) for s in range(first, first + AT_ONCE)]
+                keys = _table_keys(block, prints, HOT_SEGMENT, range(first, first + AT_ONCE))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *kept, shown], names=["key", "block", "seq", "carried", "print"])
 
     made = rows.where(F.size("words") > 0).select("block", "seq", "carried", "words").mapInArrow(entries, "key long, block long, seq long, carried boolean, print binary")
@@ -281,11 +274,11 @@ def similar_reports(findings: DataFrame, scans: DataFrame) -> DataFrame:
     one id are no pair.
     """
     spark = findings.sparkSession
-    rows = findings.select("seq", key_or_null(F.col("finding_id")).alias("id_key"), F.col("file_path").alias("path"), F.col("line_number").alias("line"), "title", "description")
+    rows = findings.select("seq", key_or_null(F.col("finding_id")).alias("id_key"), F.col("file_path").alias("path"), F.col("line_number").cast("int").alias("line"), "title", "description")
     rows = rows.where("id_key is not null and line is not null and path is not null")
-    names = scans.select(F.element_at(F.filter(F.split(spelled(F.col("target_path")), "/"), lambda x: x != ""), -1).alias("seg")).where("seg is not null").distinct().limit(MOST_TARGETS + 1).collect()
+    names = scans.select(F.element_at(F.filter(F.split(spelled(F.col("target_path")), "/"), lambda x: x != ""), -1).alias("seg")).where("seg is not null").distinct().limit(MOST_TARGETS + 1).toPandas()["seg"]
     if len(names) <= MOST_TARGETS:
-        targets = spark.sparkContext.broadcast(frozenset(r.seg for r in names))
+        targets = spark.sparkContext.broadcast(frozenset(names))
     else:
         targets = spark.sparkContext.broadcast(None)
         rows = with_file_key(rows, scans, "path", "file_key").drop("path").withColumnRenamed("file_key", "path")
@@ -299,54 +292,42 @@ def similar_reports(findings: DataFrame, scans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(own.astype(np.int64))], names=["block", "own"])
 
     sizes = rows.select("path", "line").mapInArrow(places, "block long, own long").groupBy("block").agg(F.count("*").alias("n"), F.sum("own").alias("own")).where(f"n > {HOT}")
-    most = sizes.orderBy(F.desc("n")).limit(MOST_HOT).collect()
-    listed = np.array([r.block for r in most], np.int64).view(np.uint64)
+    at = f"{checkpoint_dir(spark)}/hot-{uuid.uuid4().hex}"
     # Blocks with carried rows only have no pair; their rows go nowhere.
-    hot = spark.sparkContext.broadcast((np.sort(listed), listed[np.array([r.own == 0 for r in most], bool)]))
+    sizes.select("block", (F.col("own") > 0).alias("met")).write.parquet(at)
+    hot = spark.read.schema("block long, met boolean").parquet(at)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        listed, unmet = hot.value
         for b in batches:
             files, place = _located(b, targets.value, known)
-            own, after = _blocks(files, place), _blocks(files, place + 1)
-            stretch = [_blocks(files ^ np.uint64(1), p // 64) for p in (place, place + 1)]
-            is_hot = [np.isin(x, listed) for x in (own, after)]
-            # A row is sent to a hot block as own or carried row; to its cold stretch once, with both blocks; into the next stretch if it is carried over the border.
-            idle = [np.isin(x, unmet) for x in (own, after)]
-            same = stretch[0] == stretch[1]
-            near, far = ~is_hot[1] & same, ~is_hot[1] & ~same
-            parts = [
-                (is_hot[0] & ~idle[0], own, True, False, False), (is_hot[1] & ~idle[1], after, True, False, True),
-                (~is_hot[0] | near, stretch[0], False, ~is_hot[0], near), (far, stretch[1], False, ~far, far),
-            ]
-            for chosen, key, in_hot, as_own, carried in parts:
-                at = np.flatnonzero(chosen)
-                if len(at):
-                    take, n = pa.array(at), len(at)
-                    flags = [np.full(n, x) if isinstance(x, bool) else x[at] for x in (in_hot, as_own, carried)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(flags[0]), *[pa.array(x[at].view(np.int64)) for x in (key, own, after)], pa.array(flags[1]), pa.array(flags[2]), *[b.column(x).take(take) for x in ("seq", "id_key", "line", "text")]],
-                        names=["hot", "stretch", "block", "after", "own", "carried", "seq", "id_key", "line", "text"],
-                    )
-
-    spread = rows.select("seq", "id_key", "path", F.col("line").cast("int").alias("line"), F.concat_ws(" ", "title", "description").alias("text")).mapInArrow(placed, "hot boolean, stretch long, block long, after long, own boolean, carried boolean, seq long, id_key string, line int, text string")
-    cold = spread.where("not hot").drop("hot").repartition("stretch").sortWithinPartitions("stretch").mapInArrow(_cold_pairs, "seq_a long, seq_b long")
-    if not most:
-        return cold
-    return cold.unionByName(_hot_pairs(spread.where("hot").withColumn("block", F.col("stretch"))))
-
-
-def similar_groups(findings: DataFrame, scans: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """seq, group_id (smallest seq reached over links) and links (number of reports alike) of each report that has any.
-
-    Components by alternating large-star and small-star steps; each round is cut through the checkpoint folder. Only a count comes
-    to the driver.
-    """
-    pairs = cut(similar_reports(findings, scans))
-    both = pairs.select(F.col("seq_a").alias("u"), F.col("seq_b").alias("v")).unionByName(pairs.select(F.col("seq_b").alias("u"), F.col("seq_a").alias("v")))
-    links = both.groupBy("u").agg(F.count("*").alias("links"))
-    edges, before = pairs.select(F.col("seq_b").alias("u"), F.col("seq_a").alias("v")), None
+            made = [_blocks(files, place), _blocks(files, place + 1), *(_blocks(files ^ np.uint64(1), p // 64) for p in (place, place + 1))]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in made], *[b.column(x) for x in ("seq", "id_key", "line", "text")]], names=["block", "after", "stretch", "next", "seq", "id_key", "line", "text"])
+
+    text = rows.select("seq", "id_key", "path", "line", F.concat_ws(" ", "title", "description").alias("text"))
+    spread = text.mapInArrow(placed, "block long, after long, stretch long, next long, seq long, id_key string, line int, text string")
+    marked = spread.join(hot.select("block", F.col("met").alias("own_met")), "block", "left").join(hot.select(F.col("block").alias("after"), F.col("met").alias("after_met")), "after", "left")
+    own_cold, after_cold, same = F.col("own_met").isNull(), F.col("after_met").isNull(), F.col("stretch") == F.col("next")
+
+    def routed(*ways: tuple[Column, Column, Column, Column]) -> DataFrame:
+        """A copy of each row for each way that is open to it: (open, key, whether as own, whether as carried row)."""
+        each = F.explode(F.filter(F.array(*[F.struct(o.alias("open"), k.alias("key"), x.alias("own"), c.alias("carried")) for o, k, x, c in ways]), lambda w: w["open"]))
+        return marked.select("block", "after", "seq", "id_key", "line", "text", each.alias("w")).select("*", "w.key", "w.own", "w.carried").drop("w")
+
+    # A row is sent to its cold stretch once, with both blocks; into the next stretch if it is carried over the border.
+    yes, no = F.lit(True), F.lit(False)
+    cold = routed((own_cold | after_cold & same, F.col("stretch"), own_cold, after_cold & same), (after_cold & ~same, F.col("next"), no, yes)).withColumnRenamed("key", "stretch")
+    found = cold.repartition("stretch").sortWithinPartitions("stretch").mapInArrow(_cold_pairs, "seq_a long, seq_b long")
+    if hot.isEmpty():
+        return found
+    hot_rows = routed((F.coalesce("own_met", no), F.col("block"), yes, no), (F.coalesce("after_met", no), F.col("after"), no, yes))
+    return found.unionByName(_hot_pairs(hot_rows.drop("block").withColumnRenamed("key", "block")))
+
+
+def _components(edges: DataFrame, most_rounds: int) -> DataFrame:
+    """u, root (smallest v reached) of the u that are not roots themselves, for edges (u, v), by alternating large-star and small-star
+    steps; each round is cut through the checkpoint folder. Only a count comes to the driver."""
+    before = None
     for _ in range(most_rounds):
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -356,8 +337,37 @@ def similar_groups(findings: DataFrame, scans: DataFrame, most_rounds: int = 30)
         edges = cut(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return edges.groupBy("u").agg(F.min("v").alias("root"))
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return links.join(edges.groupBy("u").agg(F.min("v").alias("group_id")), "u", "left").select(F.col("u").alias("seq"), F.coalesce("group_id", "u").alias("group_id"), "links")
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def similar_groups(findings: DataFrame, scans: DataFrame, most_rounds: int = 30) -> DataFrame:
+    """seq, group_id (smallest seq reached over links) and links (number of reports alike) of each report that has any.
+
+    Reports of one place (path as written, line) with the same words form a class; only one of each class is held against the others, so
+    copies never become pairs. A report is alike to all of its own and of the linked classes but those with its own id: their number is
+    the size of these classes less the rows of its id in them. Two classes hang together unless both have one and the same id only.
+    """
+    rows = findings.select("seq", key_or_null(F.col("finding_id")).alias("id_key"), "file_path", "line_number", "title", "description")
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "description")), F.lit("[a-z0-9]+"), F.lit(0))))
+    place = ["file_path", "line_number", "said"]
+    rows = rows.where("id_key is not null and file_path is not null and line_number is not null").withColumn("said", words).where("size(said) > 0").withColumn("said", F.md5(F.array_join("said", " ")))
+    classes = cut(rows.groupBy(*place).agg(F.min(F.struct("seq", "title", "description")).alias("r"), F.count("*").alias("n"), F.min("id_key").alias("least"), F.max("id_key").alias("most")))
+    shown = classes.select(F.col("r.seq").alias("seq"), F.col("r.seq").cast("string").alias("finding_id"), "file_path", "line_number", "r.title", "r.description")
+    pairs = cut(similar_reports(shown, scans))
+    known = classes.select(F.col("r.seq").alias("rep"), "n", "least", "most")
+    member = rows.join(classes.select(*place, F.col("r.seq").alias("rep")), place).select("seq", "id_key", "rep")
+    ids = cut(member.groupBy("rep", "id_key").agg(F.count("*").alias("own")))
+    both = pairs.select(F.col("seq_a").alias("u"), F.col("seq_b").alias("v")).unionByName(pairs.select(F.col("seq_b").alias("u"), F.col("seq_a").alias("v")))
+    others = both.join(known.select(F.col("rep").alias("v"), F.col("n").alias("m")), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("m").alias("around"))
+    # An id in several classes: its rows in linked classes are not alike.
+    split = ids.join(ids.groupBy("id_key").agg(F.count("*").alias("k")).where("k > 1"), "id_key", "left_semi")
+    there = split.select(F.col("rep").alias("v"), "id_key", F.col("own").alias("m"))
+    again = split.withColumnRenamed("rep", "u").join(both, "u").join(there, ["v", "id_key"]).groupBy(F.col("u").alias("rep"), "id_key").agg(F.sum("m").alias("again"))
+    counted = ids.join(known, "rep").join(others, "rep", "left").join(again, ["rep", "id_key"], "left")
+    links = counted.select("rep", "id_key", (F.col("n") + F.coalesce("around", F.lit(0)) - F.col("own") - F.coalesce("again", F.lit(0))).alias("links")).where("links > 0")
+    one_id = [known.where("least = most").select(F.col("rep").alias(f"seq_{x}"), F.col("least").alias(f"id_{x}")) for x in "ab"]
+    tied = pairs.join(one_id[0], "seq_a", "left").join(one_id[1], "seq_b", "left").where("not coalesce(id_a = id_b, false)")
+    roots = _components(tied.select(F.col("seq_b").alias("u"), F.col("seq_a").alias("v")), most_rounds)
+    return member.join(links, ["rep", "id_key"]).join(roots.select(F.col("u").alias("rep"), "root"), "rep", "left").select("seq", F.coalesce("root", "rep").alias("group_id"), "links")

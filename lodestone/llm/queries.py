@@ -97,7 +97,21 @@ cells AS (
 )"""
 _WON = "SELECT finding_key, field_name, seq FROM cells JOIN many USING (finding_key) WHERE ok QUALIFY row_number() OVER (PARTITION BY finding_key, field_name ORDER BY r, found DESC, seq) = 1"
 
+_PAIRS = f"""{_PLACED},
+rows AS (
+  SELECT seq, {_ID} AS id_key, file_key, line_number AS line, list_distinct(regexp_extract_all(lower(concat_ws(' ', title, description)), '[a-z0-9]+')) AS w
+  FROM findings JOIN placed USING (file_path) WHERE line_number IS NOT NULL
+), pairs AS (
+  SELECT a.seq AS seq_a, b.seq AS seq_b FROM rows a JOIN rows b ON a.file_key = b.file_key AND a.seq < b.seq AND abs(a.line - b.line) <= 5 AND a.id_key <> b.id_key
+  WHERE len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) >= 0.6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))
+)"""
+
 ORACLES: dict[str, str] = {
+    "p5_found": f"WITH {_PAIRS} SELECT seq_a, seq_b FROM pairs",
+    "p5_groups": f"""WITH RECURSIVE {_PAIRS}, both_ways AS (SELECT seq_a AS u, seq_b AS v FROM pairs UNION ALL SELECT seq_b, seq_a FROM pairs),
+reach AS (SELECT DISTINCT u AS seq, u AS met FROM both_ways UNION SELECT r.seq, b.v FROM reach r JOIN both_ways b ON r.met = b.u),
+roots AS (SELECT seq, min(met) AS group_id FROM reach GROUP BY 1)
+SELECT seq, group_id, links FROM roots JOIN (SELECT u AS seq, count(*) AS links FROM both_ways GROUP BY 1) USING (seq)""",
     "p2_found": f"WITH {_CELLS} {_WON}",
     "p2_records": f"""WITH {_CELLS}, won AS ({_WON}) SELECT w.finding_key, max(confidence) FILTER (field_name = 'confidence') AS confidence, max(cwe_id) FILTER (field_name = 'cwe_id') AS cwe_id,
 max(remediation) FILTER (field_name = 'remediation') AS remediation, max(source) FILTER (field_name = 'source') AS source FROM won w JOIN rows r ON w.seq = r.seq GROUP BY 1""",
@@ -119,15 +133,6 @@ SELECT DISTINCT b.seq FROM grams b JOIN grams h ON h.arrival < b.arrival AND h.i
 UNION
 SELECT DISTINCT b.seq FROM grams b JOIN grams h ON h.arrival < b.arrival AND h.file_key = b.file_key AND h.nums = b.nums
 WHERE b.batched AND len(b.g) > 0 AND len(list_intersect(b.g, h.g)) * 3 >= len(b.g) + len(h.g)
-""",
-    "p5_found": f"""
-WITH {_PLACED},
-rows AS (
-  SELECT seq, {_ID} AS id_key, file_key, line_number AS line, list_distinct(regexp_extract_all(lower(concat_ws(' ', title, description)), '[a-z0-9]+')) AS w
-  FROM findings JOIN placed USING (file_path) WHERE line_number IS NOT NULL
-)
-SELECT a.seq AS seq_a, b.seq AS seq_b FROM rows a JOIN rows b ON a.file_key = b.file_key AND a.seq < b.seq AND abs(a.line - b.line) <= 5 AND a.id_key <> b.id_key
-WHERE len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) >= 0.6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))
 """,
     "p8_found": """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),

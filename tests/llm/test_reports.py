@@ -188,8 +188,12 @@ def test_similar_reports_equal_all_pairs_with_a_hot_file(spark):
     for a, b in got:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    groups = {x.seq: x.group_id for x in near_duplicates.similar_groups(df, scans(spark)).collect()}
-    assert groups == {x: root(x) for x in parent}
+    found = near_duplicates.similar_groups(df, scans(spark)).collect()
+    assert {x.seq: x.group_id for x in found} == {x: root(x) for x in parent}
+    links = {}
+    for a, b in want:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    assert sum(x.links == links[x.seq] for x in found) >= 0.98 * len(found) and len(found) == len({x.seq for x in found})
     assert near_duplicates.similar_reports(df.limit(0), scans(spark)).collect() == []
 
 
@@ -211,6 +215,30 @@ def test_similar_reports_of_a_defect_that_fills_a_third_of_a_hot_block(spark):
     assert len(got) >= 0.999 * len(want) > 40_000
 
 
+def test_boilerplate_in_a_hot_block_costs_no_recall(spark):
+    r = random.Random(13)
+    plate = [f"plate{k}" for k in range(20)]
+    rows = []
+    for i in range(1000):
+        own = [f"v{i}x{k}" for k in range(10)]
+        rows.append((2 * i, f"a{i}", "shop/lock.json", "", 0, " ".join(plate + own)))
+        rows.append((2 * i + 1, f"b{i}", "shop/lock.json", "", 0, " ".join(plate + own[: r.choice([3, 4, 6])] + [f"u{i}x{k}" for k in range(6)])))
+    sets = {x[0]: set(x[5].split()) for x in rows}
+    want = {(2 * i, 2 * i + 1) for i in range(1000) if 10 * len(sets[2 * i] & sets[2 * i + 1]) >= 6 * len(sets[2 * i] | sets[2 * i + 1])}
+    got = {(x.seq_a, x.seq_b) for x in near_duplicates.similar_reports(spark.createDataFrame(rows, SCHEMA), scans(spark)).collect()}
+    assert all(10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b]) for a, b in got)
+    assert len(got & want) >= 0.995 * len(want) > 600
+
+
+def test_groups_of_copies_are_counted_without_their_pairs(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i, f"id{i % 300}", "shop/lock.json", None, 3, text) for i in range(900)] + [(900 + i, f"id{i}", "shop/lock.json", None, 4, text.replace("ten", "more")) for i in range(3)] + [(950, "id950", "shop/a.py", "a", 1, "b"), (951, "id950", "shop/a.py", "a", 1, "b")]
+    got = {x.seq: (x.group_id, x.links) for x in near_duplicates.similar_groups(spark.createDataFrame(rows, SCHEMA), scans(spark)).collect()}
+    # 900 copies under 300 ids, and three changed ones under ids of the copies.
+    want = {i: (0, 900 - 3 + (2 if i % 300 < 3 else 3)) for i in range(900)} | {900 + i: (0, 900 - 3 + 2) for i in range(3)}
+    assert got == want
+
+
 CODE = [
     ('password = "%s"', "hunter2!x9"), ("url = 'postgres://app:%s@db.test/x'", "Zq8#kkPa"), ("curl -H 'X-Api-Key: %s' https://a.test", "0f3a9b7c6d5e4f3a2b1c0d9e8f7a6b5c"), ("# TODO: token=%s", "aK3jd93KdkeP02mdk4Lm3kd9s"),
     ('os.environ.get("DB_SECRET", "%s")', "Blue-lagoon-77"), ("charge('%s')", "sk_live_a9Kd83mdK20dkLm3Xc7q"), ('k = """%s"""', "-----BEGIN RSA PRIVATE KEY-----\nMIIabc123\nZZ==\n-----END RSA PRIVATE KEY-----"),
