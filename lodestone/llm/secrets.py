@@ -8,8 +8,9 @@ BEGIN to their END line.
 The model. Weak labels come from patterns: known token formats and values after telling names are positive; digests, commits,
 placeholders, images and plain code are negative; the rest is unlabelled. From the labelled candidates of a bounded sample
 (SAMPLE_ROWS rows, chosen by a hash of seq) two character Markov chains are fitted (secrets, other code) and a logistic regression on the
-difference of their likelihoods, the shape of the value, the identifiers before it, and the path. The threshold is calibrated on held-out
-labelled candidates, where it gives the best F1. Training is the only step on a sample; every row is scored, without shuffle.
+difference of their likelihoods, the shape of the value, the identifiers before it, and the path; the patterns that label are no
+features. Scores are calibrated by isotonic regression on every fifth labelled candidate, held out from the fit: a value is reported
+from a calibrated probability of LEAST. Training is the only step on a sample; every row is scored, without shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 
 #: Bound of the training sample, in rows of findings with code.
 SAMPLE_ROWS = 8_000
+#: Weight of the squared coefficients in the fit.
+RIDGE = 0.1
+#: Least calibrated probability of a value that is reported and masked.
+LEAST = 0.5
 #: Bound of the labelled candidates that the regression is fitted on.
 TRAIN_CANDIDATES = 20_000
 FIELDS = ("code_snippet", "remediation_code")
@@ -42,6 +47,7 @@ _OPTION = re.compile(r"-[pP](?=.{4})")
 
 _QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\r\n])+)\1""")
 _BOUND = re.compile(r"""(?<![=!<>])[=:][ \t]*(?![=:/])([^\s"'`<>(){}\[\],;|]+)(?=[\s,;|]|$)""")
+_PARAMETER = re.compile(r"""[?&;]([A-Za-z_][\w.-]*)=([^\s&;#"'`<>]+)""")
 _HINT = re.compile(r"pass|pwd|secret|token|key|auth|credential|identified|basic|bearer", re.IGNORECASE)
 
 # Formats of well-known tokens.
@@ -57,10 +63,11 @@ _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|==+|\|\||\?:|[=:,/@#*-]")
 
 # A telling name that is a look-up by name.
 _LOOKUP = re.compile(r"(?:get|fetch|read|load|lookup)\w*\(\W{0,3}$", re.IGNORECASE)
-#: Fixed examples (value, left, kind, label) of what may be rare in a sample: plain words as passwords, and names of the code in their place.
+#: Fixed examples (value, left, kind, label) of what may be rare in a sample: plain words and rare signs in passwords, and names of the code in their place.
 _KNOWN = [
     *((v, f"{n}{sign}{q}", "token", 1) for v in ("sunshine", "dragonfly", "Mountain", "letmein", "open-the-gate", "abc") for n, sign in (("password", " = "), ("db_password", " = "), ("secret", ": "), ("PASSWORD", "=")) for q in "'\""),
     *((v, f"postgres://{u}:", "address", 1) for v in ("sunshine", "dragon", "letmein", "abc") for u in ("app", "root", "svc")),
+    *((v, left, kind, 1) for c in "~*#%+!^$&" for v in (f"stone_river{c}42", f"mEadow{c}", f"lake97{c}", f"QxvTrpLmw{c}") for left, kind in (("DATABASE_URL=mysql://svc_x:", "address"), ("amqp://y:", "address"), ("X_PASSWD=", "token"), ("x_password = '", "token"))),
     *((v, f"{n}{sign}", "token", 0) for v in ("password", "user.password", "str", "None", "token", "config.secret", "true", "required", "value") for n in ("password", "token", "secret") for sign in (" = ", ": ")),
 ]
 
@@ -97,14 +104,17 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         if end - start >= 6 or kind == "address" and end > start:
             line = text.rfind("\n", 0, start) + 1
             out.append((start, end, text[max(line, start - _LEFT) : start], kind))
-    # A literal after a telling name counts as a whole; one with blanks, an address or names of its own only if nothing is found inside.
+    # A literal after a telling name counts as a whole; one with a scheme, an address or names of its own only if nothing is found inside.
     for start, end in named:
         if any(a < end and start < b for a, b in blocks):
             continue
         inner = [c for c in out if c[0] < end and start < c[1]]
-        if not inner or (start, end) not in {c[:2] for c in inner} and not re.search(r"\s|://|[A-Za-z_]\w*[=:]\S", text[start:end]):
+        if not inner or (start, end) not in {c[:2] for c in inner} and not re.search(r"^(?i:basic|bearer|token)\s|://|[A-Za-z_]\w*[=:]\S", text[start:end]):
             out = [c for c in out if c not in inner]
             out.append((start, end, text[max(text.rfind("\n", 0, start) + 1, start - _LEFT) : start], "token"))
+    for start, end in _parameters(text) if "://" in text else ():
+        out = [c for c in out if not (c[0] < end and start < c[1])]
+        out.append((start, end, text[max(text.rfind("\n", 0, start) + 1, start - _LEFT) : start], "token"))
     return sorted(out)
 
 
@@ -120,6 +130,16 @@ def _named(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def _parameters(text: str) -> list[tuple[int, int]]:
+    """Values of telling parameters of addresses."""
+    out = []
+    for m in _PARAMETER.finditer(text):
+        before = text.rfind("://", 0, m.start())
+        if _TELLING.search(m[1] + "=") and before >= 0 and not re.search(r"\s", text[before : m.start()]):
+            out.append(m.span(2))
+    return out
+
+
 def weak_label(value: str, left: str, kind: str) -> int | None:
     """1: a pattern says secret; 0: a pattern says other; None: no pattern speaks."""
     if kind in ("block", "public"):
@@ -128,7 +148,7 @@ def weak_label(value: str, left: str, kind: str) -> int | None:
         return 0
     if _FORMATS.fullmatch(value):
         return 1
-    if _OTHER.search(left):
+    if kind != "address" and _OTHER.search(left):
         return 0
     telling = bool(_TELLING.search(left))
     if kind == "address":
@@ -144,22 +164,30 @@ def weak_label(value: str, left: str, kind: str) -> int | None:
     return None
 
 
+def _longest(pattern: str, value: str) -> int:
+    return max(map(len, re.findall(pattern, value)), default=0)
+
+
 def _dense(value: str, kind: str, path: str | None) -> list[float]:
+    """Shape of the value and place; nothing here asks one of the patterns that label."""
     n = len(value)
     digits = sum(c.isdigit() for c in value)
     upper, lower = sum(c.isupper() for c in value), sum(c.islower() for c in value)
     special = n - digits - upper - lower
     counts = [value.count(c) for c in set(value)]
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
+    turns = sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(value, value[1:]))
+    pieces = re.split(r"[-_.:/]", value)
     place = (path or "").lower()
     return [
-        1.0, min(n, 80) / 40, digits / n, upper / n, lower / n, special / n, entropy / 4, float(bool(upper and lower and digits)), float(bool(re.fullmatch(r"[0-9a-f]+", value))),
-        float(bool(re.fullmatch(r"[A-Za-z0-9+/]{12,}={0,2}", value))), float(bool(_CODE.fullmatch(value))), float(bool(_PLACEHOLDER.search(value))), float(bool(_UUID.fullmatch(value))), float(bool(_FORMATS.fullmatch(value))),
-        float(kind == "address"), float(kind == "block"), float(kind == "public"), float(value[-1:] in "!#%*~+$^"), float("test" in place), float("lock" in place), float(place.endswith((".yaml", ".yml", ".env", ".ini", ".tf"))),
+        1.0, min(n, 80) / 40, float(n < 8), digits / n, upper / n, lower / n, special / n, entropy / 4, max(counts) / n, turns / n, float(bool(upper and lower and digits)), float(not digits),
+        float(value.lower().strip("0123456789abcdef") == ""), float(n in (32, 40, 64) and value.strip("0123456789abcdef") == ""), float(len(pieces) == 5 and [len(x) for x in pieces] == [8, 4, 4, 4, 12]), min(len(pieces), 8) / 4,
+        min(_longest("[a-z]+", value), 16) / 8, min(_longest("[A-Za-z0-9]+", value), 60) / 30, float("_" in value), float("." in value), float("/" in value), float("(" in value), float(value[:1] in "<$%{*"), float(value[-1:] in ">}*"), float(" " in value),
+        float(value[-1:] == "="), float(value[-1:] in "!#%*~+$^"), float(kind == "address"), float(kind == "block"), float(kind == "public"), float("test" in place), float("lock" in place), float(place.endswith((".yaml", ".yml", ".env", ".ini", ".tf"))),
     ]
 
 
-_DENSE = 21 + 2 + 2
+_DENSE = 33 + 2 + 3
 
 
 def _bare_name(value: str, left: str) -> bool:
@@ -191,7 +219,7 @@ class Markov:
         for values in (secrets, others):
             counts = np.full((97, 97), 0.3)
             for v in values:
-                c = self.codes(v[:400])
+                c = self.codes(v)
                 np.add.at(counts, (c[:-1], c[1:]), 1)
             logs.append(np.log(counts / counts.sum(1, keepdims=True)))
         self.ratio = logs[0] - logs[1]
@@ -210,10 +238,14 @@ class SecretModel:
         self.chains = Markov()
         self.dense, self.hashed = np.zeros(_DENSE), np.zeros(_HASHED)
         self.threshold = 0.5
+        self.steps = (np.array([0.0]), np.array([0.5]))
+
+    def calibrated(self, score: float) -> float:
+        """The share of secrets among held-out candidates of such a score."""
+        return float(self.steps[1][max(0, int(np.searchsorted(self.steps[0], score, "right")) - 1)])
 
     def _row(self, value: str, left: str, kind: str, path: str | None) -> tuple[list[float], list[int]]:
-        short = value if kind != "block" and kind != "public" else value[:64]
-        return _dense(short, kind, path) + self.chains.features(short) + [float(left[-1:] in ("'", '"', "`")), float(_bare_name(value, left))], _names(left)
+        return _dense(value, kind, path) + self.chains.features(value) + [float(left[-1:] in ("'", '"', "`")), float(_bare_name(value, left)), float(kind == "address" and left[-1:] == ":")], [] if kind == "address" else _names(left)
 
     def score(self, value: str, left: str, kind: str, path: str | None) -> float:
         dense, hashed = self._row(value, left, kind, path)
@@ -224,8 +256,8 @@ class SecretModel:
         """rows: value, left, kind, path, label. Every fifth is held out for the threshold."""
         rows = rows[:TRAIN_CANDIDATES]
         if len({r[4] for r in rows}) < 2:
-            # Without examples of both kinds the patterns alone decide, through the flags of formats and blocks.
-            self.dense[[0, 13, 14, 15]] = -3.0, 6.0, 6.0, 6.0
+            # Without examples of both kinds only key blocks and passwords of addresses are told from the rest.
+            self.dense[[0, 27, 28]] = -3.0, 6.0, 6.0
             return self
         self.chains.fit([r[0] for r in rows if r[4] and r[2] != "block"], [r[0] for r in rows if not r[4]])
         x = np.zeros((len(rows), _DENSE + _HASHED), np.float32)
@@ -236,24 +268,39 @@ class SecretModel:
         y = np.array([r[4] for r in rows], np.float32)
         held = np.arange(len(rows)) % 5 == 4
         a, b = x[~held], y[~held]
-        w, v = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
-        step = 4.0 / (np.square(a).sum(1).mean() + 1)
-        for k in range(400):
-            ahead = w + k / (k + 3) * (w - v)
-            p = 1 / (1 + np.exp(-np.clip(a @ ahead, -30, 30)))
-            v, w = w, ahead - step * (a.T @ (p - b) / len(b) + 1e-5 * ahead)
+        w = np.zeros(x.shape[1])
+        for _ in range(12):
+            # Newton steps; the ridge keeps names that were met on one side only from growing without end.
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            slope = a.T @ (p - b) + RIDGE * w
+            bend = (a * (p * (1 - p))[:, None]).T @ a + RIDGE * np.eye(len(w))
+            move = np.linalg.solve(bend, slope)
+            w -= move
+            if np.abs(move).max() < 1e-4:
+                break
         self.dense, self.hashed = w[:_DENSE].astype(float), w[_DENSE:].astype(float)
         p = 1 / (1 + np.exp(-np.clip(x[held] @ w, -30, 30)))
-        self.threshold = _best_threshold(p, y[held])
+        self.steps = _isotonic(p, y[held])
+        likely = self.steps[1] >= LEAST
+        if likely.any():
+            first = int(np.argmax(likely))
+            # Between the last score that is unlikely and the first that is likely, in the middle of their orders of magnitude: a missed secret costs more.
+            below = p[p < self.steps[0][first]]
+            self.threshold = math.sqrt(float(self.steps[0][first]) * max(1e-6, float(below.max()) if len(below) else 0.0))
         return self
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the range of thresholds with the best F1 on held-out rows."""
-    grid = np.linspace(0.05, 0.95, 91)
-    f1 = np.array([2 * (y * (p >= t)).sum() / max(1, (p >= t).sum() + y.sum()) for t in grid])
-    best = grid[f1 >= f1.max() - 1e-9]
-    return float(best[len(best) // 2])
+def _isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First score and share of each step of the rising function nearest to the labels y over the scores p: neighbours that fall are pooled."""
+    order = np.argsort(p, kind="stable")
+    steps: list[list[float]] = []
+    for score, label in zip(p[order].tolist(), y[order].tolist()):
+        steps.append([score, label, 1.0])
+        while len(steps) > 1 and (steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2] or steps[-2][0] == steps[-1][0]):
+            _, total, n = steps.pop()
+            steps[-1][1] += total
+            steps[-1][2] += n
+    return np.array([s for s, _, _ in steps] or [0.0]), np.array([t / n for _, t, n in steps] or [0.5])
 
 
 def train(findings: DataFrame, rows: int = SAMPLE_ROWS) -> SecretModel:

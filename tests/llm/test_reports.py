@@ -284,7 +284,9 @@ def test_literals_after_telling_names_of_any_letters(spark):
     cases = [
         ('password = "sunshine"', "sunshine"), ('password = "correct-horse-battery"', "correct-horse-battery"), ("password = 'P@ssword'", "P@ssword"), ('db_password = "Pa$sWord"', "Pa$sWord"), ('password="Blue-lagoon"', "Blue-lagoon"), ('password = "hunterTwo"', "hunterTwo"),
         ('password = "qwErtyui"', "qwErtyui"), ("DB_PASSWORD=Sunshine", "Sunshine"), ('password = "k9!"', "k9!"), ('password = "aB3(x;9"', "aB3(x;9"), ("url = 'postgres://app:sunshine@db.test/x'", "sunshine"),
-        ("password = user.password", None), ("password: str = None", None), ("password: ${DB_PASSWORD}", None), ('password = get_secret("ledger/prod")', None),
+        ("curl https://api.example/v1?api_key=9f8A7b6C5d4E3f2a1B0c", "9f8A7b6C5d4E3f2a1B0c"), ('password = "p@ss;w0rd,x9(1)"', "p@ss;w0rd,x9(1)"), ('password: "correcthorsebatterystaple"', "correcthorsebatterystaple"),
+        ('db_pass = "a1b2"', "a1b2"), ('pwd="Tr0ub4dor&3 horse"', "Tr0ub4dor&3 horse"), ("url = 'amqp://svc_lease:badge_teal~32@db.test'", "badge_teal~32"),
+        ("password = user.password", None), ("password: str = None", None), ("GET https://api.example/v1?page=2&sort=name", None), ("password: ${DB_PASSWORD}", None), ('password = get_secret("ledger/prod")', None),
     ]
     rows += [(1000 + i, "a/b.py", text, None) for i, (text, _) in enumerate(cases)]
     df = spark.createDataFrame(rows, "seq long, file_path string, code_snippet string, remediation_code string")
