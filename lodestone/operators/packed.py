@@ -7,8 +7,9 @@ or colon stays, so that `cve-9-9` and `https://a.a/a` are values of their own) a
 E-step is a forward-backward pass over the lattices, the M-step a sum. The final split of each field is the best path (Viterbi).
 
 Scale: fields are first reduced to patterns (shapes and delimiters) with counts, which are far fewer than rows; EM runs over patterns,
-distributed, and returns at most MOST_SHAPES shape frequencies and some ten delimiter rates to the driver. Rarer shapes are not
-dropped but take the smoothed probability of unseen ones. The rows are read once for the counts and once for the split.
+distributed, and returns to the driver some ten delimiter rates and the frequencies of the shapes that make up LEAST_SHARE of a field's
+items or more, of which there can be 1 / LEAST_SHARE at most at any size. Rarer shapes count in the total and take the smoothed
+probability of unseen ones. The rows are read once for the counts and once for the split.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,8 @@ from ..functions.text import SCANNERS, STAND_INS, folded
 from ..session import cut
 
 ROUNDS = 3
-MOST_SHAPES = 2_000
+#: Least share of a field's items that a shape must have for its own frequency.
+LEAST_SHARE = 5e-5
 #: Atoms of a field up to which every span of them may be an item; in longer fields spans of up to LONGEST atoms, and all that lie
 #: between neighbouring delimiters of one kind (see reaches).
 EVERY_SPAN, LONGEST = 64, 12
@@ -97,13 +98,16 @@ def lattice(field: str) -> tuple[list[tuple[int, int]], list[str], list[str], di
         at = mark.end()
 
 
-#: Belief about how often a delimiter splits, before any data. For those that rarely stand inside of a value it keeps half the weight:
-#: lists of few kinds of values are else as well explained by whole fields as values.
+#: Belief about how often a delimiter splits, before any data. For those that rarely stand inside of a value it keeps FIRM_WEIGHT of
+#: the weight of the data (lists of few kinds of values are else as well explained by whole fields as values), for the rest that of two places.
 BELIEF = {",": 0.95, ";": 0.95, "|": 0.95, "line": 0.95, "tab": 0.95, "blank": 0.8, "and": 0.8, "+": 0.8, "&": 0.5, "/": 0.3}
 FIRM = {",", ";", "|", "line", "tab"}
+FIRM_WEIGHT = 1.0
 #: Price of each further atom of an item.
 FURTHER = 0.3
 
+_FIRST, _EACH, _UNSEEN, _UNSEEN_EACH, _FURTHER = math.log(0.05), math.log(0.5), math.log(1e-4), math.log(0.1), math.log(FURTHER)
+_WHOLE = {'"', "cwe-9: title"}
 _SAID = {"line": "\n", "tab": "\t", "blank": " ", "and": " and "}
 
 
@@ -130,58 +134,61 @@ def reaches(delimiters: list[str]) -> list[list[int]]:
 class Model:
     """Frequencies of item shapes and rates at which delimiters split."""
 
-    def __init__(self, shapes: dict[str, float] | None = None, rates: dict[str, float] | None = None):
-        self.total = sum(shapes.values()) if shapes else 0.0
-        self.shapes, self.rates = shapes or {}, rates or {}
+    def __init__(self, shapes: dict[str, float] | None = None, rates: dict[str, float] | None = None, total: float | None = None, longest: int = 1):
+        """total: sum over all shapes, the rare ones included; longest: most atoms of a shape."""
+        self.total = total if total is not None else sum(shapes.values()) if shapes else 0.0
+        self.shapes, self.rates, self.longest = shapes or {}, rates or {}, longest
 
-    def item(self, kind: str, atoms: int) -> float:
-        """Logarithm of the probability: the items of long fields are beyond the range of a float."""
+    def item(self, kind: str | None, atoms: int) -> float:
+        """Logarithm of the probability: the items of long fields are beyond the range of a float. kind None: a shape never seen."""
         # Before anything is learned every atom of an item costs the same; an unseen shape stays possible at any time.
         if not self.total:
-            return math.log(0.05) + atoms * math.log(0.5)
-        seen, unseen = self.shapes.get(kind, 0.0), math.log(1e-4) + atoms * math.log(0.1)
+            return _FIRST + atoms * _EACH
+        seen, unseen = self.shapes.get(kind, 0.0) if kind is not None else 0.0, _UNSEEN + atoms * _UNSEEN_EACH
         if seen:
-            known = math.log(seen) + (atoms - 1) * math.log(FURTHER)
+            known = math.log(seen) + (atoms - 1) * _FURTHER
             unseen = max(known, unseen) + math.log1p(math.exp(-abs(known - unseen)))
         return unseen - math.log(self.total + 1)
 
     def rate(self, delimiter: str) -> float:
         return min(0.999, max(0.001, self.rates.get(delimiter, BELIEF[delimiter])))
 
-    def spans(self, shapes: list[str], delimiters: list[str]) -> list[list[tuple[int, str, float]]]:
-        """For each end the spans (start, shape, logarithm of the probability as an item whose inner delimiters do not split)."""
-        out, whole = [], {'"', "cwe-9: title"}
+    def spans(self, shapes: list[str], delimiters: list[str]) -> list[list[tuple[int, float]]]:
+        """For each end the spans (start, logarithm of the probability as an item whose inner delimiters do not split)."""
+        out = []
         said, stay = [_SAID.get(d, d) for d in delimiters], [math.log(1 - self.rate(d)) for d in delimiters]
         for e, starts in enumerate(reaches(delimiters), 1):
             row, kind, keep, at = [], shapes[e - 1], 0.0, e - 1
             for s in starts:
                 if s < at:
-                    inner = shapes[s : at + 1]
-                    if any(x in whole for x in inner):
+                    if (at == e - 1 and shapes[at] in _WHOLE) or any(x in _WHOLE for x in shapes[s:at]):
                         break
-                    kind = "".join(x + y for x, y in zip(inner, said[s:at])) + kind
+                    # Shapes of more atoms than any that was seen need not be spelt out.
+                    kind = "".join(x + y for x, y in zip(shapes[s:at], said[s:at])) + kind if kind is not None and e - s <= self.longest else None
                     keep += sum(stay[s:at])
                     at = s
-                row.append((s, kind, self.item(kind, e - s) + keep))
+                row.append((s, self.item(kind, e - s) + keep))
             out.append(row)
         return out
 
     def expected(self, shapes: list[str], delimiters: list[str], shape_counts: dict, split_counts: dict, weight: float) -> None:
-        spans, n = [[(s, kind, math.exp(x)) for s, kind, x in row] for row in self.spans(shapes, delimiters)], len(shapes)
+        """Adds the expected counts of a lattice: shape_counts[shape, atoms], split_counts[delimiter] = [splits, occurrences]."""
+        spans, n = [[(s, math.exp(x)) for s, x in row] for row in self.spans(shapes, delimiters)], len(shapes)
+        said = [_SAID.get(d, d) for d in delimiters]
         forward, backward = [1.0] + [0.0] * n, [0.0] * n + [1.0]
         cut_rate = [1.0] + [self.rate(d) for d in delimiters] + [1.0]
         for e in range(1, n + 1):
-            forward[e] = cut_rate[e] * sum(forward[s] * p for s, _, p in spans[e - 1])
+            forward[e] = cut_rate[e] * sum(forward[s] * p for s, p in spans[e - 1])
         for e in range(n, 0, -1):
-            for s, _, p in spans[e - 1]:
+            for s, p in spans[e - 1]:
                 backward[s] += p * cut_rate[e] * backward[e]
         if not forward[n]:
             return
         for e in range(1, n + 1):
-            for s, kind, p in spans[e - 1]:
+            for s, p in spans[e - 1]:
                 x = forward[s] * p * cut_rate[e] * backward[e] / forward[n]
                 if x > 1e-6:
-                    shape_counts[kind] += weight * x
+                    shape_counts["".join(a + b for a, b in zip(shapes[s : e - 1], said[s : e - 1])) + shapes[e - 1], e - s] += weight * x
         for i, d in enumerate(delimiters, 1):
             split_counts[d][0] += weight * forward[i] * backward[i] / forward[n]
             split_counts[d][1] += weight
@@ -192,7 +199,7 @@ class Model:
         score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for e in range(1, n + 1):
             edge = math.log(self.rate(delimiters[e - 1])) if e < n else 0.0
-            for s, _, p in spans[e - 1]:
+            for s, p in spans[e - 1]:
                 x = score[s] + p + edge
                 if x > score[e]:
                     score[e], back[e] = x, s
@@ -203,27 +210,21 @@ class Model:
         return out[::-1]
 
 
-_SEP, _SUB = "\x1f", "\x1e"
-
-
 def _patterns(fields: DataFrame) -> DataFrame:
-    """field_name, pattern, n: the different lattices and how often each occurs. Counted within a batch before the shuffle."""
+    """field_name, shapes, delimiters, n: the different lattices and how often each occurs. Counted within a batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: dict[tuple[str, str], int] = defaultdict(int)
+            counts: dict[tuple, int] = defaultdict(int)
             for name, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 _, shapes, delimiters, _ = lattice(value)
-                counts[name, _SEP.join(shapes) + _SUB + _SEP.join(delimiters)] += 1
-            names, patterns = zip(*counts) if counts else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(patterns, pa.string()), pa.array(counts.values(), pa.int64())], names=["field_name", "pattern", "n"])
-
-    return fields.select("field_name", "value").mapInArrow(run, "field_name string, pattern string, n long").groupBy("field_name", "pattern").agg(F.sum("n").alias("n"))
-
+                counts[name, tuple(shapes), tuple(delimiters)] += 1
+            names, shapes, delimiters = zip(*counts) if counts else ((), (), ())
+            texts = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(map(list, shapes), texts), pa.array(map(list, delimiters), texts), pa.array(counts.values(), pa.int64())], names=["field_name", "shapes", "delimiters", "n"])
 
-def _read(pattern: str) -> tuple[list[str], list[str]]:
-    shapes, delimiters = pattern.split(_SUB)
-    return shapes.split(_SEP), delimiters.split(_SEP) if delimiters else []
+    made = fields.select("field_name", "value").mapInArrow(run, "field_name string, shapes array<string>, delimiters array<string>, n long")
+    return made.groupBy("field_name", "shapes", "delimiters").agg(F.sum("n").alias("n"))
 
 
 def learn(fields: DataFrame, rounds: int = ROUNDS) -> dict[str, Model]:
@@ -233,21 +234,28 @@ def learn(fields: DataFrame, rounds: int = ROUNDS) -> dict[str, Model]:
     for _ in range(rounds):
         now = dict(models)
 
-        def run(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            shapes: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            shapes: dict[str, dict[tuple[str, int], float]] = defaultdict(lambda: defaultdict(float))
             splits: dict[str, dict[str, list[float]]] = defaultdict(lambda: defaultdict(lambda: [0.0, 0.0]))
-            for frame in frames:
-                for name, pattern, n in zip(frame.field_name, frame.pattern, frame.n):
-                    now.get(name, Model()).expected(*_read(pattern), shapes[name], splits[name], float(n))
-            rows = [(f, "s", k, v, 0.0) for f, c in shapes.items() for k, v in c.items()] + [(f, "d", k, *v) for f, c in splits.items() for k, v in c.items()]
-            yield pd.DataFrame(rows, columns=["field_name", "kind", "name", "x", "y"])
-
-        sums = patterns.mapInPandas(run, "field_name string, kind string, name string, x double, y double").groupBy("field_name", "kind", "name").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-        learned = sums.where("kind = 'd'").unionByName(sums.where("kind = 's'").orderBy(F.desc("x"), "field_name", "name").limit(MOST_SHAPES)).collect()
+            for b in batches:
+                for name, atoms, delimiters, n in zip(*(c.to_pylist() for c in b.columns)):
+                    now.get(name, Model()).expected(atoms, delimiters, shapes[name], splits[name], float(n))
+            rows = [(f, "s", k, x, float(atoms)) for f, c in shapes.items() for (k, atoms), x in c.items()] + [(f, "d", k, *v) for f, c in splits.items() for k, v in c.items()]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["field_name", "kind", "name", "x", "y"])
+
+        # Of a shape y is its number of atoms, of a delimiter the number of its places.
+        parts = patterns.mapInArrow(run, "field_name string, kind string, name string, x double, y double")
+        sums = parts.groupBy("field_name", "kind", "name").agg(F.sum("x").alias("x"), F.when(F.col("kind") == "s", F.max("y")).otherwise(F.sum("y")).alias("y"))
+        sums = cut(sums.where("kind = 'd' or x > 0"))
+        totals = sums.where("kind = 's'").groupBy("field_name").agg(F.sum("x").alias("total"))
+        learned = sums.join(F.broadcast(totals), "field_name", "left").where(F.expr(f"kind = 'd' or x >= total * {LEAST_SHARE}")).collect()
         models = defaultdict(Model)
         for field in {r.field_name for r in learned}:
             mine = [r for r in learned if r.field_name == field]
-            models[field] = Model({r.name: r.x for r in mine if r.kind == "s"}, {r.name: (r.x + BELIEF[r.name] * (w := r.y if r.name in FIRM else 2)) / (r.y + w) for r in mine if r.kind == "d" and r.y})
+            shapes = [r for r in mine if r.kind == "s"]
+            rates = {r.name: (r.x + BELIEF[r.name] * (w := r.y * FIRM_WEIGHT if r.name in FIRM else 2)) / (r.y + w) for r in mine if r.kind == "d" and r.y}
+            models[field] = Model({r.name: r.x for r in shapes}, rates, max((r.total for r in shapes), default=0.0), int(max((r.y for r in shapes), default=1)))
     return dict(models)
 
 

@@ -81,3 +81,12 @@ def test_items_of_many_atoms_stay_whole(spark):
     got = packed.split_values(spark.createDataFrame(rows, "seq long, field_name string, value string")).where("seq >= 1000").collect()
     for k, (_, want) in special.items():
         assert [r.item for r in sorted(got, key=lambda r: r.pos) if r.seq == k] == want, k
+
+
+def test_control_characters_and_long_prose(spark):
+    prose = " ".join(f"word{'abcdefghij'[k % 10]}" for k in range(30))
+    special = {1000: ("a\x1eb\x1fc", []), 1001: ("CVE-2091-1\x1f; CVE-2091-2", ["CVE-2091-1", "CVE-2091-2"]), 1002: (prose, [])}
+    rows = [*column()[0], *((k, "refs", v) for k, (v, _) in special.items())]
+    got = packed.split_values(spark.createDataFrame(rows, "seq long, field_name string, value string")).where("seq >= 1000").collect()
+    for k, (_, want) in special.items():
+        assert [r.item for r in sorted(got, key=lambda r: r.pos) if r.seq == k] == want, k
