@@ -92,7 +92,8 @@ def lattice(field: str) -> tuple[list[tuple[int, int]], list[str], list[str], di
         shapes.append(kind)
         mark = _DELIMITER.match(field, stop, end)
         if not mark or mark.end() == stop:
-            return spans, shapes, delimiters, quoted
+            # A blank between two plain words is a kind of its own: prose has many, lists hardly any.
+            return spans, shapes, ["gap" if d == "blank" and shapes[i] == shapes[i + 1] == "a" else d for i, d in enumerate(delimiters)], quoted
         said = next(x for x in mark.groups() if x)
         delimiters.append(_NAMES.get(said, said.lower()))
         at = mark.end()
@@ -100,7 +101,7 @@ def lattice(field: str) -> tuple[list[tuple[int, int]], list[str], list[str], di
 
 #: Belief about how often a delimiter splits, before any data. For those that rarely stand inside of a value it keeps FIRM_WEIGHT of
 #: the weight of the data (lists of few kinds of values are else as well explained by whole fields as values), for the rest that of two places.
-BELIEF = {",": 0.95, ";": 0.95, "|": 0.95, "line": 0.95, "tab": 0.95, "blank": 0.8, "and": 0.8, "+": 0.8, "&": 0.5, "/": 0.3}
+BELIEF = {",": 0.95, ";": 0.95, "|": 0.95, "line": 0.95, "tab": 0.95, "blank": 0.8, "gap": 0.3, "and": 0.8, "+": 0.8, "&": 0.5, "/": 0.3}
 FIRM = {",", ";", "|", "line", "tab"}
 FIRM_WEIGHT = 1.0
 #: Price of each further atom of an item.
@@ -108,7 +109,7 @@ FURTHER = 0.3
 
 _FIRST, _EACH, _UNSEEN, _UNSEEN_EACH, _FURTHER = math.log(0.05), math.log(0.5), math.log(1e-4), math.log(0.1), math.log(FURTHER)
 _WHOLE = {'"', "cwe-9: title"}
-_SAID = {"line": "\n", "tab": "\t", "blank": " ", "and": " and "}
+_SAID = {"line": "\n", "tab": "\t", "blank": " ", "gap": " ", "and": " and "}
 
 
 def reaches(delimiters: list[str]) -> list[list[int]]:
