@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import chains_to_sinks, clean_edges, described_chains, entry_points, sink_callers
@@ -46,23 +47,18 @@ def ordered_context(functions: DataFrame, selected: DataFrame) -> DataFrame:
 def context_blocks(functions: DataFrame, selected: DataFrame, used: int = 0, most: int = MOST_CHARS) -> DataFrame:
     """func_id, text of the functions that a context holds: taken in order until the running total exceeds `most`.
 
-    A block has a character at least, so only the first most + 1 functions can matter; these few are folded in one task.
+    Only keys and lengths are ordered in one window, of the first most + 1 functions (a block has a character at least); bodies join after.
     """
     order = ["late_source", "late_sink", "file", "line", "ordinal", "func_id"]
     head = F.concat(F.lit("\n  // [SECURITY-RELEVANT: "), F.array_join("reasons", ", "), F.lit("]\n"), F.coalesce("body", F.lit("")), F.lit("\n"))
-    rows = ordered_context(functions, selected).orderBy(*order).limit(most + 1).select(*order, head.alias("text"))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        total, last, kept = used, None, []
-        for r in frame.sort_values(order).itertuples(index=False):
-            if total > most:
-                break
-            text = r.text if r.file == last else f"\n--- FILE: {r.file} ---\n{r.text}"
-            last, total = r.file, total + len(text)
-            kept.append((r.func_id, text))
-        return pd.DataFrame(kept, columns=["func_id", "text"])
-
-    return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fold, "func_id long, text string")
+    rows = ordered_context(functions, selected).select(*order, head.alias("text"))
+    place = F.concat(F.lit("\n--- FILE: "), F.coalesce("file", F.lit("")), F.lit(" ---\n"))
+    w = W.orderBy(*order)
+    short = rows.select(*order, F.length("text").alias("n")).orderBy(*order).limit(most + 1).withColumn("begins", ~F.col("file").eqNullSafe(F.lag("file").over(w)) | (F.row_number().over(w) == 1))
+    sized = short.withColumn("n", F.col("n") + F.when(F.col("begins"), F.length(place)).otherwise(0))
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + used
+    kept = sized.withColumn("before", before).where(F.col("before") <= most).select("func_id", "begins")
+    return rows.join(kept, "func_id").select("func_id", F.when(F.col("begins"), F.concat(place, "text")).otherwise(F.col("text")).alias("text"))
 
 
 def reduction(full_chars: int, kept_chars: int) -> float:

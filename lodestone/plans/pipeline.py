@@ -1,4 +1,4 @@
-"""The scan as one lazy plan, and the places where scanners and reasoners are plugged in."""
+"""The scan as one plan, and the places where scanners and reasoners are plugged in."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import findings as fnd
 from ..operators import graph, scan, symbols, taint
 from ..operators.protocol import backfilled
+from ..session import cut
 from ..sources import code
 from ..sources.tools import READERS
 
@@ -116,11 +117,16 @@ class Scan:
 
 
 def full_scan(files: DataFrame, registry: Registry | None = None) -> Scan:
-    """files(path, content) to symbols, call graph, taint flows and filtered findings; nothing runs until a part is read."""
+    """files(path, content) to symbols, call graph, taint flows and filtered findings.
+
+    Functions and edges are cut once, since every level of the walks behind `flows` reads them: sources are parsed a single time. The walks
+    run while the plan is built; findings are lazy.
+    """
     inside = scan.selected(files)
     items = code.parsed(inside)
-    functions = symbols.flagged(code.functions(items))
-    edges = graph.call_edges(functions, graph.import_map(code.imports(items)))
+    items = cut(items)
+    functions = cut(symbols.flagged(code.functions(items)))
+    edges = cut(graph.call_edges(functions, graph.import_map(code.imports(items))))
     found = (registry or Registry().add(PatternScanner())).scan_all(inside)
     columns = [c for c in ("description", "remediation") if c not in found.columns]
     found = found.withColumns({c: F.lit("") for c in columns}).withColumns({"seq": F.xxhash64("source", "file_path", "line_number", "title"), "is_false_positive": F.lit(False), "false_positive_reason": F.lit(None).cast("string")})

@@ -250,7 +250,7 @@ def x12_validation_blocks(s, d):
 
 
 @query(f"""WITH n AS (SELECT *, row_number() OVER (ORDER BY seq) AS i, {_VERDICT} AS v, {BASE.format(c=_P)} AS base FROM findings),
-o AS (SELECT n.*, coalesce(lag(base) OVER (ORDER BY seq) = base, false) AS same FROM n)
+o AS (SELECT n.*, coalesce(lag(base) OVER (ORDER BY seq) = base AND (i - 1) // 25 = (i - 2) // 25, false) AS same FROM n)
 SELECT seq, v = 'REMOVE' AND NOT (coalesce(confidence, 0.0) >= 0.9 OR severity = 'CRITICAL' OR coalesce(source IN ('trivy', 'npm_audit'), false) OR {holds(_T, ['hardcoded', 'otp', 'bypass', 'missing auth', 'admin', 'stack trace', 'error.stack'])}) AND (line_number = 0 OR same) AS removed,
 v = 'FIX' AS fixed, CASE WHEN v != 'REMOVE' AND {RANK} < 3 THEN 'LOW' ELSE severity END AS severity, CASE WHEN v = 'FIX' THEN '' ELSE remediation_code END AS remediation_code FROM o""")
 def m3_validated(s, d):
@@ -278,7 +278,11 @@ def x13_remediation_blocks(s, d):
     return protocol.remediations(_f(s, d).select("seq", text.alias("text")), keep=["seq"]).select("seq", "strategy", "code")
 
 
-@query()
+_BARE = r"regexp_replace(regexp_replace(coalesce(code_snippet, ''), '```\w*\s*\n?', '', 'g'), '`+\s*$', '')"
+_PROSE = f"NOT regexp_matches(lower(trim(x)), {lit(protocol.CODE_SIGN)}) AND (regexp_matches(trim(x), {lit(protocol.SENTENCE)}) AND len(string_split_regex(trim(x), '\\s+')) >= 3 OR len(trim(x)) > 40 AND len(string_split_regex(trim(x), '\\s+')) >= 6)"
+
+
+@query(f"SELECT seq, trim(array_to_string(list_filter(string_split({_BARE}, chr(10)), lambda x: trim(x) NOT IN ('', '---', '***', '___') AND NOT ({_PROSE})), chr(10))) AS code FROM findings")
 def x14_clean_code(s, d):
     return _f(s, d).select("seq", protocol.clean_code(F.col("code_snippet")).alias("code"))
 
@@ -292,9 +296,20 @@ def k2_sarif_rules(s, d):
     return report.sarif_rules(_f(s, d))
 
 
-@query()
+_BELOW = "CASE WHEN regexp_extract(file_path, 'workspace/[^/]*/(.*)$', 1) != '' THEN regexp_extract(file_path, 'workspace/[^/]*/(.*)$', 1) ELSE file_path END"
+_RULE_ID = "CASE WHEN coalesce(cwe_id, '') != '' THEN cwe_id ELSE finding_id END"
+_LEVEL = cased("severity", {x: y for x, _, _, y in dims.SEVERITIES}, "warning")
+
+
+@query(f"""WITH c AS (SELECT *, {_RULE_ID} AS rule_id, {_LEVEL} AS level FROM findings WHERE {CONFIRMED})
+SELECT 'rule' AS part, 0 AS seq, rule_id, level, title AS text, NULL AS uri, NULL AS first, NULL AS last FROM c QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY c.seq) = 1
+UNION ALL SELECT 'result', seq, rule_id, level, description, {_BELOW}, greatest(coalesce(line_number, 0), 1), greatest(CASE WHEN coalesce(end_line, 0) > 0 THEN end_line ELSE coalesce(line_number, 0) END, 1) FROM c""")
 def k2_sarif_lines(s, d):
-    return report.sarif_lines(_f(s, d))
+    """The lines, read back as JSON."""
+    place = "$.locations[0].physicalLocation."
+    get = lambda *paths: F.coalesce(*[F.get_json_object("text", p) for p in paths])
+    return report.sarif_lines(_f(s, d)).select("part", "seq", get("$.ruleId", "$.id").alias("rule_id"), get("$.level", "$.defaultConfiguration.level").alias("level"), get("$.message.text", "$.shortDescription.text").alias("said"),
+                                               get(place + "artifactLocation.uri").alias("uri"), get(place + "region.startLine").cast("int").alias("first"), get(place + "region.endLine").cast("int").alias("last")).withColumnRenamed("said", "text")
 
 
 @query(f"""WITH c AS (SELECT count(*) FILTER (severity = 'CRITICAL') AS "CRITICAL", count(*) FILTER (severity = 'HIGH') AS "HIGH", count(*) FILTER (severity = 'MEDIUM') AS "MEDIUM", count(*) FILTER (severity = 'LOW') AS "LOW", count(*) FILTER (severity = 'INFO') AS "INFO", count(*) AS total_confirmed FROM findings WHERE {CONFIRMED}),
@@ -305,14 +320,42 @@ def a11_report_summary(s, d):
     return report.summary(_f(s, d))
 
 
-@query()
+@query(f"""WITH c AS (SELECT * FROM findings WHERE {CONFIRMED})
+SELECT -1 AS rank, -1 AS seq, '# Security report' AS head UNION ALL SELECT -1, 0, '## First to mend' WHERE EXISTS (SELECT 1 FROM c)
+UNION ALL SELECT {RANK}, -1, '## ' || severity || ' (' || count(*) || ')' FROM c WHERE {RANK} < 9 GROUP BY severity UNION ALL SELECT {RANK}, seq, string_split('### ' || coalesce(title, ''), chr(10))[1] FROM c""")
 def k1_markdown_rows(s, d):
-    return report.markdown_rows(_f(s, d))
+    return report.markdown_rows(_f(s, d)).select("rank", "seq", F.get(F.split("text", "\n"), F.lit(0)).alias("head"))
 
 
-@query()
+_CLASS = "coalesce(try_cast(nullif(regexp_extract(coalesce(cwe_id, ''), '([0-9]+)', 1), '') AS INT), CASE " + " ".join(f"WHEN contains({_T}, {lit(w)}) THEN {int(c[4:])}" for w, c, _ in dims.CWE_BY_TITLE) + " END)"
+
+
+def _advice(kind: int) -> str:
+    return f"CASE {_CLASS} " + " ".join(f"WHEN {k} THEN {lit(v[kind])}" for k, v in report.ADVICE.items()) + " END"
+
+
+_ENRICHED = f"""SELECT seq, severity, title, file_path, line_number, cwe_id, CASE WHEN trim(coalesce(reasoning_chain, '')) = '' THEN coalesce({_advice(0)}, description) ELSE reasoning_chain END AS why,
+CASE WHEN trim(coalesce(remediation, '')) = '' THEN coalesce({_advice(1)}, CASE WHEN trim(coalesce(cwe_id, '')) != '' THEN 'Address ' || cwe_id || ' at the place shown.' ELSE 'Review the code at the place shown.' END) ELSE remediation END AS how,
+CASE WHEN trim(coalesce(remediation_code, '')) = '' AND trim(coalesce(code_snippet, '')) NOT IN {one_of(report.NO_SNIPPET)} THEN coalesce({_advice(2)}, '') ELSE remediation_code END AS code,
+CASE WHEN trim(coalesce(code_snippet, '')) IN {one_of(report.NO_SNIPPET)} THEN '' ELSE code_snippet END AS snippet FROM findings"""
+
+
+@query(f"SELECT seq, severity, title, {_BELOW} AS file, line_number AS line, why, how, code, snippet, cwe_id AS cwe FROM ({_ENRICHED} WHERE {CONFIRMED})")
 def k3_json_findings(s, d):
-    return report.json_findings(_f(s, d))
+    """The bodies, read back as JSON."""
+    get = lambda p, name: F.get_json_object("body", "$." + p).alias(name)
+    return report.json_findings(_f(s, d)).select("seq", "severity", get("title", "title"), get("vulnerable_code.file", "file"), F.get_json_object("body", "$.vulnerable_code.line").cast("int").alias("line"), get("why_vulnerable", "why"), get("solution.description", "how"), get("solution.fixed_code", "code"), get("vulnerable_code.snippet", "snippet"), get("metadata.cwe", "cwe"))
+
+
+@query(f"SELECT seq, why AS reasoning_chain, how AS remediation, code AS remediation_code, snippet AS code_snippet FROM ({_ENRICHED})")
+def m5_enriched(s, d):
+    return report.enriched(_f(s, d)).select("seq", "reasoning_chain", "remediation", "remediation_code", "code_snippet")
+
+
+@query(f"""WITH c AS (SELECT *, {_RULE_ID} AS rule_id FROM findings WHERE {CONFIRMED})
+SELECT 1 AS section, count(DISTINCT rule_id) AS lines, count(DISTINCT rule_id) - 1 AS commas FROM c UNION ALL SELECT 3, count(*), count(*) - 1 FROM c UNION ALL SELECT unnest([-1, 0, 2, 4]), 1, 0""")
+def k2_sarif_document(s, d):
+    return report.sarif_document(_f(s, d)).groupBy("section").agg(F.count("*").alias("lines"), F.count_if(F.startswith("text", F.lit(",{"))).alias("commas"))
 
 
 # Symbols.
@@ -406,12 +449,32 @@ def g7_described_chains(s, d):
     return graph.described_chains(graph.chains_to_sinks(_edges(s, d), f), f).select("sink_id", F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"), "has_source", "has_sanitizer", F.array_join("files", ",").alias("files"), "times")
 
 
-@query()
+def _words(text: str, words: list[str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN contains({text}, {lit(w.lower())}) THEN {lit(w)} END" for w in words) + "], lambda x: x IS NOT NULL)"
+
+
+_FLOWS = _WALKS + f""", det AS (SELECT func_id, any_value(file) AS file, any_value(line) AS line, any_value(ordinal) AS ordinal, any_value(so) AS sources, any_value(si) AS sinks, any_value(sa) AS sanitizer
+FROM (SELECT func_id, file, line, ordinal, {_words(BODY, dims.SOURCES)} AS so, {_words(TEXT, [w for ws in dims.SINKS.values() for w in ws])} AS si, {_words(BODY, dims.SANITIZERS)}[1] AS sa FROM function_symbols) GROUP BY 1),
+src AS (SELECT func_id AS src_id, i AS source_no, sources[i + 1] AS source FROM (SELECT *, unnest(range(0, len(sources))) AS i FROM det)), snk AS (SELECT func_id AS sink_id, i AS sink_no, sinks[i + 1] AS sink FROM (SELECT *, unnest(range(0, len(sinks))) AS i FROM det)),
+fw AS (SELECT func_id AS src_id, [func_id] AS path FROM functions WHERE is_source UNION ALL SELECT w.src_id, list_append(path, e.dst_id) FROM fw w JOIN edge e ON e.src_id = path[-1] WHERE len(path) <= 4 AND NOT list_contains(path, e.dst_id)),
+ch AS (SELECT DISTINCT sink_id, list_reverse(path) AS path FROM walk WHERE ended), cn AS (SELECT *, path[pos] AS func_id FROM (SELECT *, unnest(range(1, len(path) + 1)) AS pos FROM ch)),
+back AS (SELECT sink_id, path, arg_min(func_id, pos) AS src_id FROM cn JOIN functions USING (func_id) WHERE is_source GROUP BY 1, 2),
+every AS (SELECT 0 AS kind, src_id, source_no, source, sink_id, sink_no, sink, [src_id] AS path FROM src JOIN snk ON src_id = sink_id
+UNION ALL SELECT 1, f.src_id, source_no, source, k.sink_id, sink_no, sink, path FROM fw f JOIN functions t ON t.func_id = f.path[-1] AND t.is_sink JOIN src s ON s.src_id = f.src_id JOIN snk k ON k.sink_id = t.func_id WHERE len(path) > 1
+UNION ALL SELECT 2, b.src_id, source_no, source, b.sink_id, sink_no, sink, path FROM back b JOIN src s ON s.src_id = b.src_id AND source_no = 0 JOIN snk k ON k.sink_id = b.sink_id),
+kept AS (SELECT source, sink, min(struct_pack(late := (kind = 2)::INT, o := CASE WHEN kind < 2 THEN a.ordinal ELSE 0 END, source_no := source_no, kind := kind, path := path, sink_no := sink_no, src_id := src_id, sink_id := sink_id)) AS r
+FROM every e JOIN det a ON a.func_id = e.src_id JOIN det z ON z.func_id = e.sink_id GROUP BY source, a.file, a.line, sink, z.file, z.line),
+flow AS (SELECT row_number() OVER () AS id, source, r.src_id AS src_id, sink, r.sink_id AS sink_id, r.path AS path FROM kept),
+san AS (SELECT id, arg_min(sanitizer, pos) AS sanitizer FROM (SELECT id, pos, path[pos] AS func_id FROM (SELECT *, unnest(range(1, len(path) + 1)) AS pos FROM flow)) JOIN det USING (func_id) WHERE sanitizer IS NOT NULL GROUP BY 1),
+told AS (SELECT flow.*, sanitizer, CASE WHEN sanitizer IS NOT NULL THEN 'safe' WHEN len(path) <= 2 THEN 'critical' ELSE 'high' END AS risk_level FROM flow LEFT JOIN san USING (id))"""
+
+
+@query(_FLOWS + " SELECT source, src_id, sink, sink_id, array_to_string(path, '>') AS path, sanitizer, risk_level FROM told")
 def g10_taint_flows(s, d):
     return taint.flows(_edges(s, d), _sym(s, d)).withColumn("path", F.array_join("path", ">"))
 
 
-@query()
+@query(_FLOWS + " SELECT count(*) AS total_chains, count(*) FILTER (risk_level <> 'safe') AS vulnerable_chains, count(*) FILTER (risk_level = 'safe') AS safe_chains, count(*) FILTER (risk_level = 'critical') AS critical_chains, count(*) FILTER (risk_level = 'high') AS high_chains FROM told")
 def a5_taint_stats(s, d):
     return taint.flow_stats(taint.flows(_edges(s, d), _sym(s, d)))
 
@@ -429,12 +492,24 @@ def a4_graph_stats(s, d):
     return graph.graph_stats(_edges(s, d), f)
 
 
-@query()
+_CHOSEN = _WALKS + f""", full_f AS (SELECT func_id, any_value(sink_categories) AS cats, any_value(line) AS line, any_value(body) AS body FROM function_symbols GROUP BY 1),
+one AS (SELECT src_id AS func_id, dst_id AS sink_id, 1 AS level FROM edge JOIN functions ON dst_id = func_id WHERE is_sink), callers AS (SELECT * FROM one UNION SELECT e.src_id, o.sink_id, 2 FROM edge e JOIN one o ON e.dst_id = o.func_id),
+cn AS (SELECT sink_id, path, unnest(path) AS func_id FROM (SELECT DISTINCT sink_id, path FROM walk WHERE ended)), bad AS (SELECT sink_id, path FROM cn JOIN functions USING (func_id) GROUP BY 1, 2 HAVING bool_or(is_source)),
+before_entries AS (SELECT f.func_id, 1 AS step, 'contains_sink:' || array_to_string(cats, ',') AS reason FROM functions f JOIN full_f USING (func_id) WHERE is_sink UNION SELECT func_id, 2, 'contains_user_input_source' FROM functions WHERE is_source
+UNION SELECT c.func_id, 3, CASE WHEN level = 1 THEN 'calls_sink:' ELSE 'indirect_caller_of_sink:' END || s.func_name FROM callers c JOIN functions s ON s.func_id = c.sink_id
+UNION SELECT unnest(b.path), 4, 'in_dangerous_chain:' || s.func_name FROM bad b JOIN functions s ON s.func_id = b.sink_id),
+entries AS (SELECT func_id, 5 AS step, 'entry_point_with_security_connection' AS reason FROM functions WHERE (func_id NOT IN (SELECT dst_id FROM edge) OR is_exported OR {holds('lower(func_name)', dims.ENTRY_WORDS)}) AND (is_source OR func_id IN (SELECT src_id FROM edge WHERE dst_id IN (SELECT func_id FROM before_entries)))),
+chosen AS (SELECT func_id, list(reason ORDER BY step, reason) AS reasons FROM (SELECT * FROM before_entries UNION SELECT * FROM entries) GROUP BY 1)"""
+
+
+@query(_CHOSEN + " SELECT func_id, array_to_string(reasons, '; ') AS reasons FROM chosen")
 def g13_selected_functions(s, d):
     return ctx.selected_functions(_edges(s, d), _sym(s, d)).select("func_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query()
+@query(_CHOSEN + """, b AS (SELECT func_id, file, NOT is_source AS a1, NOT is_sink AS a2, line, ordinal, chr(10) || '  // [SECURITY-RELEVANT: ' || array_to_string(reasons, ', ') || ']' || chr(10) || coalesce(body, '') || chr(10) AS text FROM chosen JOIN functions USING (func_id) JOIN full_f USING (func_id)),
+h AS (SELECT *, CASE WHEN file IS DISTINCT FROM lag(file) OVER w OR row_number() OVER w = 1 THEN chr(10) || '--- FILE: ' || coalesce(file, '') || ' ---' || chr(10) ELSE '' END || text AS whole FROM b WINDOW w AS (ORDER BY a1, a2, file, line, ordinal, func_id)),
+r AS (SELECT *, coalesce(sum(len(whole)) OVER (ORDER BY a1, a2, file, line, ordinal, func_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h) SELECT func_id, whole AS text FROM r WHERE before <= 60000""")
 def l2_context_blocks(s, d):
     return ctx.context_blocks(_sym(s, d), ctx.selected_functions(_edges(s, d), _sym(s, d)))
 

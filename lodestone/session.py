@@ -31,10 +31,13 @@ def get_spark(app: str = "lodestone", master: str | None = None, **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. A folder of our own is made only where the session names none (tests)."""
+    """The shared checkpoint folder. A folder of our own is made only in local mode, where the session names none (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            # A folder of the driver's own is not there for the executors of a cluster.
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

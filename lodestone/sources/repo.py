@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..dims import EXTENSIONS
 from ..operators.scan import selected
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), content (UTF-8, broken bytes replaced), sha256 and size of all files below root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def files(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
+    """path (below root), content (UTF-8, broken bytes replaced), sha256 and size of the files below root whose name fits the glob: others
+    are left out when the folder is listed and never opened."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
     base = root.rstrip("/")
     path = F.regexp_replace(F.substring_index(F.col("path"), base + "/", -1), "^/+", "")
     return raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    return selected(files(spark, root))
+    """The selected files; only names with a supported suffix are opened."""
+    return selected(files(spark, root, "*{" + ",".join(EXTENSIONS) + "}"))
 
 
 def method_texts(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:

@@ -104,5 +104,5 @@ def test_finding_blocks_in_all_header_forms(spark):
 
 def test_reports_on_empty_and_null_rows(spark):
     df = frame(spark, [row(1, title=None, description=None, file_path=None, code_snippet=None, cwe_id=None, confidence=None, line_number=None, end_line=None)])
-    assert report.markdown_rows(df).count() == 3 and report.sarif_lines(df).count() == 2 and report.json_findings(df).count() == 1
+    assert report.markdown_rows(df).count() == 4 and report.sarif_lines(df).count() == 2 and report.json_findings(df).count() == 1
     assert report.summary(frame(spark, [])).first().assessment == "NONE"
