@@ -141,9 +141,12 @@ def is_protected() -> Column:
     return (F.coalesce("confidence", F.lit(0.0)) >= 0.90) | (F.col("severity") == "CRITICAL") | F.coalesce(F.col("source").isin("trivy", "npm_audit"), F.lit(False)) | title
 
 
+# Titles of reports that report nothing.
+REJECTED = ["no vulnerabilit", "not vulnerable", "none found", "no issues found", "no findings found", "not applicable", "no issues identified", "no security issues", "properly validated", "correctly implemented", "analysis complete", "no concerns"]
+
+
 def is_rejected_title() -> Column:
-    # Titles and files of reports that report nothing.
-    title = contains_any(low("title"), ["no vulnerabilit", "not vulnerable", "none found", "no issues found", "no findings found", "not applicable", "no issues identified", "no security issues", "properly validated", "correctly implemented", "analysis complete", "no concerns"])
+    title = contains_any(low("title"), REJECTED)
     return title | F.lower(F.trim(F.coalesce("file_path", F.lit("")))).isin("n/a", "", "none", "not applicable")
 
 

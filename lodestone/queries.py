@@ -264,11 +264,15 @@ def x11_verification_blocks(s, d):
     return protocol.verifications(made).select("id", "title", "verdict", "confidence", "severity")
 
 
-@query("SELECT seq AS id, trim(replace(title, '**', '')) AS title, severity, file_path, line_number FROM findings WHERE trim(title) != '' AND NOT contains(title, ':') AND severity IS NOT NULL AND line_number >= 0 AND trim(file_path) = file_path AND NOT contains(file_path, ':') AND NOT regexp_matches(file_path, '^`|`$')")
+_CLEAN_PATH = "regexp_replace(coalesce(file_path, ''), '^`+|`+$', '', 'g')"
+
+
+@query(f"SELECT seq AS id, trim(replace(title, '**', '')) AS title, coalesce(severity, 'MEDIUM') AS severity, {_CLEAN_PATH} AS file_path, CASE WHEN line_number > 0 THEN line_number ELSE 0 END AS line_number FROM findings WHERE trim(replace(coalesce(title, ''), '**', '')) != '' AND NOT ({holds(lower('title'), fnd.REJECTED)} OR lower(trim({_CLEAN_PATH})) IN ('n/a', '', 'none', 'not applicable'))")
 def x10_finding_blocks(s, d):
-    usable = _f(s, d).where("trim(title) != '' and not contains(title, ':') and severity is not null and line_number >= 0 and trim(file_path) = file_path and not contains(file_path, ':') and not file_path rlike '^`|`$'")
-    text = F.concat(F.lit("### Finding 1\n**Title**: "), "title", F.lit("\n- Risk Level: "), F.lower("severity"), F.lit("\n- Location: `"), "file_path", F.lit("`\n- Line: "), F.col("line_number").cast("string"), F.lit("-9\n- Details: first\nsecond\n"))
-    return protocol.parsed_findings(usable.select(F.col("seq").alias("id"), text.alias("text"))).select("id", "title", "severity", "file_path", "line_number")
+    """A block of every finding, dirty ones included."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text = F.concat(F.lit("### Finding 1\n**Title**: "), said("title"), F.lit("\n- Risk Level: "), F.lower(said("severity")), F.lit("\n- Location: `"), said("file_path"), F.lit("`\n- Line: "), said("line_number"), F.lit("-9\n- Details: first\nsecond\n"))
+    return protocol.parsed_findings(_f(s, d).select(F.col("seq").alias("id"), text.alias("text"))).select("id", "title", "severity", "file_path", "line_number")
 
 
 @query("SELECT seq, 'fix' || seq AS strategy, 'a = ' || seq AS code FROM findings")
