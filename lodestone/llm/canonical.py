@@ -5,7 +5,8 @@ A value that gives a key or number is decided by it alone. Any other text goes t
 length; a value within k edits holds one of them unchanged, shifted by at most k. Values are equality-joined on (segment, start),
 candidates verified with the bounded levenshtein(), the closest entry taken, and what is left over found by an anti-join.
 
-Only distinct values are matched, so repeated entries (a third of all rows may hold one value) are reduced map-side first; the
+Forms shorter or longer than any reference text allows are left out before substrings are made, and the rest is spread over all
+partitions: they are few bytes, but each makes many substrings. Only distinct values are matched, so repeated entries (a third of all rows may hold one value) are reduced map-side first; the
 catalogs are fixed lists of some dozens of entries, from which the segment index is built (under 20,000 rows); Spark broadcasts it
 by its size. The mapping returns to the rows by a join that AQE may split at a hot value.
 """
@@ -76,10 +77,10 @@ FROM (
 """
 
 _FORMS = """
-SELECT DISTINCT field_name, value, form FROM (
+SELECT /*+ REPARTITION({parts}, form, value) */ * FROM (SELECT DISTINCT field_name, value, form FROM (
   SELECT field_name, value, explode(array(plain, regexp_replace(plain, {hedge_re}, ''), {turned})) AS form
   FROM (SELECT *, {plain} AS plain FROM {values} WHERE key_text IS NULL)
-) WHERE form != ''
+) WHERE length(form) BETWEEN (SELECT min(len - k) FROM {refs}) AND (SELECT max(len + k) FROM {refs}) AND form != '')
 """
 
 _BEST = """
@@ -131,7 +132,7 @@ def _mapping(findings: DataFrame, cwe: DataFrame, owasp: DataFrame) -> tuple[Dat
     index = spark.sql(_INDEX, refs=refs)
     hedges = _sql_text("^((" + "|".join(HEDGES) + ") )+")
     turned = _PLAIN.format(c="regexp_replace(ascii, '^([^,]*),(.*)$', '$2 $1')")
-    forms = spark.sql(_FORMS.replace("{hedge_re}", hedges).replace("{plain}", _PLAIN.format(c="ascii")).replace("{turned}", turned), values=values)
+    forms = spark.sql(_FORMS.replace("{hedge_re}", hedges).replace("{plain}", _PLAIN.format(c="ascii")).replace("{turned}", turned).replace("{parts}", findings.sparkSession.conf.get("spark.sql.shuffle.partitions")), values=values, refs=refs)
     lengths = ", ".join(str(n) for n in range(1, CHARS_PER_EDIT + 1))
     best = spark.sql(_BEST.replace("{lengths}", lengths), forms=forms, index=index)
     keys = spark.sql("SELECT 'cwe_id' AS field_name, canon_key FROM {cwe} UNION ALL SELECT 'owasp_category', canon_key FROM {owasp}", cwe=catalog[0], owasp=catalog[1])
