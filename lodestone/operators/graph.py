@@ -116,9 +116,34 @@ def entry_points(edges: DataFrame, functions: DataFrame) -> DataFrame:
     return functions.join(called, "func_id", "left").where(F.col("called").isNull() | F.coalesce("is_exported", F.lit(False)) | is_entry_name(F.col("func_name"))).select("func_id")
 
 
+def walk_counts(edges: DataFrame, functions: DataFrame, depth: int = BACKWARD_DEPTH) -> DataFrame:
+    """length, has_source, times: how many of the walks of chains_to_sinks() have which length and a source on them.
+
+    Walks that stand at one function with the same functions behind them go on alike, whichever sink they began at and in whichever order
+    they came, so each level is an aggregate over (function, functions behind it, source met) with a count: a hub multiplies counts, not rows.
+    """
+    e = clean_edges(edges).select(F.col("dst_id").alias("at"), F.col("src_id").alias("caller"))
+    sources = functions.where("is_source").select(F.col("func_id").alias("caller"), F.lit(True).alias("s")).distinct()
+    state = ["at", "behind", "has_source"]
+    walks = functions.where("is_sink").select(F.col("func_id").alias("at"), F.array().cast("array<bigint>").alias("behind"), F.coalesce("is_source", F.lit(False)).alias("has_source")).groupBy(*state).agg(F.count("*").alias("times"))
+    out = None
+    for n in range(1, depth + 2):
+        if n > depth:
+            ended = walks
+        else:
+            met = walks.join(e, "at", "left").join(sources, "caller", "left")
+            closes = F.array_contains("behind", F.col("caller"))
+            ended = met.where(F.col("caller").isNull() | closes)
+            on = met.where(F.col("caller").isNotNull() & ~closes).select(F.col("caller").alias("at"), F.array_sort(F.concat("behind", F.array("caller"))).alias("behind"), (F.col("has_source") | F.coalesce("s", F.lit(False))).alias("has_source"), "times")
+        part = ended.groupBy("has_source").agg(F.sum("times").alias("times")).withColumn("length", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+        if n <= depth:
+            walks = cut(on.groupBy(*state).agg(F.sum("times").alias("times")))
+    return out.groupBy("length", "has_source").agg(F.sum("times").alias("times"))
+
+
 def graph_stats(edges: DataFrame, functions: DataFrame) -> DataFrame:
     """One row: nodes, edges, entry_points, sink_chains, dangerous_chains, max_chain_depth."""
-    chains = described_chains(chains_to_sinks(edges, functions), functions)
-    c = chains.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("sink_chains"), F.coalesce(F.sum(F.when(F.col("has_source"), F.col("times"))), F.lit(0)).alias("dangerous_chains"), F.coalesce(F.max("length"), F.lit(0)).alias("max_chain_depth"))
+    c = walk_counts(edges, functions).agg(F.coalesce(F.sum("times"), F.lit(0)).alias("sink_chains"), F.coalesce(F.sum(F.when(F.col("has_source"), F.col("times"))), F.lit(0)).alias("dangerous_chains"), F.coalesce(F.max("length"), F.lit(0)).alias("max_chain_depth"))
     one = functions.agg(F.count("*").alias("nodes")).crossJoin(clean_edges(edges).agg(F.count("*").alias("edges"))).crossJoin(entry_points(edges, functions).agg(F.count("*").alias("entry_points")))
     return one.crossJoin(c)
