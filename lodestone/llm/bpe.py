@@ -1,10 +1,10 @@
 """Problem 7: token ids of a public byte-level BPE vocabulary, by backtracking over longest matches.
 
-A pre-token (a match of the vocabulary's split pattern) is encoded left to right: an Aho-Corasick automaton over the vocabulary
-gives the longest token that matches at each place; it is tried first. A token may follow another only if the pair is compatible,
+A pre-token (a match of the vocabulary's split pattern) is encoded left to right: the automaton over the vocabulary gives the longest
+token that matches at each place, by a prefix search there (its failure links are not followed); it is tried first. A token may follow another only if the pair is compatible,
 that is, if BPE merging applied to their joined bytes gives just these two tokens back; answers are kept in a table. If nothing fits
 behind the tokens so far, the last one is taken back and replaced by the next shorter one. Places from which a try failed are
-marked, so each is tried once and the work is linear. The outcome is exactly the one BPE merging gives.
+marked, so each is tried once and the work is linear in the length (times the longest token at worst). The outcome is exactly the one BPE merging gives.
 
 Encodings of pre-tokens are kept in a table per task, since words repeat; it is emptied when large, which costs time only.
 
