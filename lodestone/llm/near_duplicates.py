@@ -14,19 +14,24 @@ differ in that symbol only. Rows that share a key are candidates; their complete
 exact similarity.
 
 Segments are as long as the block asks for, by the usual rule that what is looked up should have about log2(rows of the block) bits. In
-blocks of up to HOT rows: 16 segments of 2 symbols, so by the pigeonhole principle every pair at a distance of up to 31 of 32 is met. In
-larger ones: 26 segments of 6, since keys of fewer symbols would make reports collide that have only boilerplate in common; a pair is met
-if a segment of it differs in one symbol at most. Expected recall depends on the similarity only, not on how common the shared words are:
-0.999 at 0.6, and above that more. Tests and README hold figures against brute force.
+blocks of up to HOT rows: 16 segments of 2 symbols, so by the pigeonhole principle every pair at a distance of up to 31 of 32 is met. Up
+to ALL_PAIRS rows: no segments, all pairs of fingerprints are compared. In larger ones: 72 segments of 8, since keys of fewer symbols would
+make reports collide that have only boilerplate in common; a pair is met if a segment of it differs in one symbol at most. Expected recall
+depends on the similarity only, not on how common the shared words are: 0.9997 at 0.6, and above that more. Tests and README hold figures
+against brute force.
 
 Lines: block number = line / 6. Rows at most 5 lines apart are in the same or in neighbouring blocks; each row is entered in its
 own block, and carried into the next.
 
 Movement. Block sizes are counted first, from ids, paths and lines only; the hot ones (more than HOT rows) are written as a table, which
-the optimizer broadcasts if its files are small and joins by block otherwise. Hot blocks have their tables spread over the cluster, by
-table key; a task holds the entries of some keys at a time, at least those of one. Rows of cold blocks move once, by stretches of 64
-blocks of a file, and meet their tables within the task, in bounded portions. Project directories are looked up in a broadcast set if
-there are at most MOST_TARGETS, else by a join.
+the optimizer broadcasts if its files are small and joins by block otherwise. Rows of hot blocks are reduced to classes first (same file,
+line and words), so copies meet nothing; pairs of classes become pairs of rows last. The segments of a hot block are dealt to up to
+MOST_PARTS parts, and a class is sent to each part once, with the segments of the part: the keys for the symbols left open, the many that
+they are, are made in the task. A task holds one part at a time. In blocks of over WHOLE rows a part is instead what agrees in one half
+of one segment (if a segment differs in one symbol, one of its halves does not). Candidates are held against one bit of all symbols before
+they are written: of pairs that are unlike, whose number grows with the square of a block, next to none gets on. Rows of cold blocks move
+once, by stretches of 64 blocks of a file, and meet their tables within the task, in bounded portions. Project directories are looked up
+in a broadcast set if there are at most MOST_TARGETS, else by a join.
 """
 
 from __future__ import annotations
@@ -50,13 +55,15 @@ HOT = 256
 MOST_TARGETS = 100_000
 #: Symbols in a segment and number of segments, in cold and in hot blocks.
 COLD_SEGMENT, COLD_SEGMENTS = 2, 16
-HOT_SEGMENT, HOT_SEGMENTS = 6, 26
-#: Segments whose keys are sent on at a time.
-AT_ONCE = 2
+HOT_SEGMENT, HOT_SEGMENTS = 8, 72
+#: Rows of a hot block up to which all pairs of fingerprints are compared.
+ALL_PAIRS = 2_048
+#: Rows of a hot block for each part that its segments are dealt to, most parts (a divisor of the segments), and rows up to which a part takes a block whole.
+IN_PART, MOST_PARTS, WHOLE = 20_000, 12, 2_000_000
 #: Least number of agreeing symbols of a candidate in cold blocks (expected at similarity 0.6: 19 of 32, standard deviation 2.8).
 AGREEING = 9
-#: In hot blocks one bit of each symbol is carried along, to verify the distance: most bits that differ (expected at 0.6: 31 of 156, standard deviation 5).
-HOT_DIFFERING = 51
+#: In hot blocks one bit of each symbol is carried along, to verify the distance: most bits that differ (expected at 0.6: 115 of 576, standard deviation 9.6).
+HOT_DIFFERING = 156
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (2, HOT_SEGMENT * HOT_SEGMENTS), dtype=np.uint64)
 
@@ -99,18 +106,17 @@ def fingerprints(sets: list[list[int]], symbols: int = HOT_SEGMENT * HOT_SEGMENT
     return out
 
 
-def _table_keys(block: np.ndarray, prints: np.ndarray, size: int, segments: range) -> list[np.ndarray]:
+def _table_keys(block: np.ndarray, prints: np.ndarray, size: int, segments: range) -> Iterator[np.ndarray]:
     """For each of the segments and each symbol left open: the table keys of all rows."""
-    part, keys = prints.astype(np.uint64), []
     for s in segments:
+        part = prints[:, s * size : (s + 1) * size].astype(np.uint64)
         for left_out in range(size):
             key = block ^ np.uint64(s * 16 + left_out + 1)
             for j in range(size):
                 if j != left_out:
-                    key = (key ^ part[:, s * size + j]) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    key = (key ^ part[:, j]) * np.uint64(0xC2B2AE3D27D4EB4F)
                     key ^= key >> np.uint64(29)
-            keys.append(key)
-    return keys
+            yield key
 
 
 def _alike(a: set[str], b: set[str]) -> bool:
@@ -204,67 +210,156 @@ def _cold_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(pa.Table.from_batches(held))
 
 
-_ENTRIES = 200_000
+_ENTRIES = 100_000
+#: Candidates gathered before copies among them are dropped.
+_GATHERED = 2_000_000
+
+
+def _parts(block: np.ndarray, size: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows of blocks of the given sizes (0: not hot): rows chosen, key of the part that each is sent to, symbols to be sent."""
+    symbols = prints.reshape(len(prints), HOT_SEGMENTS, HOT_SEGMENT)
+    rows = np.flatnonzero((size > 0) & (size <= ALL_PAIRS))
+    if len(rows):
+        yield rows, block[rows], prints[rows, :0]
+    parts = np.where((size > ALL_PAIRS) & (size <= WHOLE), np.minimum(-(-size // IN_PART), MOST_PARTS), 0)
+    for n in np.unique(parts[parts > 0]).tolist():
+        rows = np.flatnonzero(parts == n)
+        for i in range(n):
+            yield rows, block[rows] ^ np.uint64((i + 1) * 0x9FB21C651E98DF25 % 2**64), symbols[rows, i::n].reshape(len(rows), -1)
+    rows = np.flatnonzero(size > WHOLE)
+    if len(rows):
+        half = HOT_SEGMENT // 2
+        for s in range(HOT_SEGMENTS):
+            for at in (0, half):
+                key = block[rows] ^ np.uint64((2 * s + at + 1) * 0xD6E8FEB86659FD93 % 2**64)
+                for j in range(at, at + half):
+                    key = (key ^ symbols[rows, s, j].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    key ^= key >> np.uint64(29)
+                yield rows, key, symbols[rows, s, half - at : HOT_SEGMENT - at]
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of entries (key, block, seq, carried, print) sorted by key: same key and block, and near enough in the complete distance."""
-    held: list[pa.RecordBatch] = []
+def _binary(a: np.ndarray) -> pa.Array:
+    """The rows of bytes as values."""
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.arange(len(a) + 1, dtype=np.int32) * np.int32(a.shape[1])), pa.py_buffer(np.ascontiguousarray(a))])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries (part, rep, carried, bits, symbols) of classes (block, after, own_n, after_n, rep, text) for each part that they are sent to."""
+    cache = _Hashes()
+    for b in batches:
+        prints = fingerprints([[cache[w] for w in _words(t, None)] for t in b.column("text").to_pylist()])
+        bits, rep = np.packbits(prints & 1, axis=1), b.column("rep").to_numpy()
+        for at, n, carried in (("block", "own_n", False), ("after", "after_n", True)):
+            sizes = b.column(n).fill_null(0).to_numpy()
+            for rows, part, symbols in _parts(b.column(at).to_numpy().view(np.uint64), sizes, prints):
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(rep[rows]), pa.array(np.full(len(rows), carried)), _binary(bits[rows]), _binary(symbols)], names=["part", "rep", "carried", "bits", "symbols"])
+
 
-    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, block, seq = (rows.column(n).to_numpy() for n in ("key", "block", "seq"))
-        carried = rows.column("carried").to_numpy()
-        prints = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
-        near, step = np.flatnonzero(key[1:] == key[:-1]), 1
+def _near(part: np.ndarray, rep: np.ndarray, carried: np.ndarray, bits: np.ndarray, symbols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Candidates among entries of whole parts with as many symbols each."""
+    width, gathered, held = symbols.shape[1], [], 0
+
+    def candidates() -> pa.RecordBatch:
+        x, y = np.divmod(np.unique(np.concatenate(gathered)), len(rep))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], names=["rep_a", "rep_b"])
+
+    size = min(HOT_SEGMENT, width)
+    for keys in _table_keys(part, symbols, size, range(width // size)) if width else [part]:
+        order = np.argsort(keys, kind="stable")
+        keys, step = keys[order], 1
+        near = np.flatnonzero(keys[1:] == keys[:-1])
         while len(near):
-            x, y = near, near + step
-            fit = (np.bitwise_count(prints[x] ^ prints[y]).sum(1) <= HOT_DIFFERING) & (block[x] == block[y]) & (seq[x] != seq[y]) & ~(carried[x] & carried[y])
+            x, y = order[near], order[near + step]
+            fit = (part[x] == part[y]) & (rep[x] != rep[y]) & ~(carried[x] & carried[y])
+            x, y = x[fit], y[fit]
+            fit = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int32) <= HOT_DIFFERING
             x, y = x[fit], y[fit]
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(block[x]), pa.array(np.minimum(seq[x], seq[y])), pa.array(np.maximum(seq[x], seq[y]))], names=["block", "seq_a", "seq_b"])
+                gathered.append(np.minimum(x, y) * len(rep) + np.maximum(x, y))
+                held += len(x)
+                if held > _GATHERED:
+                    yield candidates()
+                    gathered, held = [], 0
             step += 1
-            near = near[near + step < len(key)]
-            near = near[key[near] == key[near + step]]
+            near = near[near + step < len(keys)]
+            near = near[keys[near] == keys[near + step]]
+    if gathered:
+        yield candidates()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (rep_a, rep_b) of entries sorted by part: some symbols agree, and near enough in the complete distance."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flat(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        data = c.buffers()[2]
+        return np.frombuffer(data if data is not None else b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+    def flush(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        # Entries of one part have as many symbols each; parts of a length are taken together.
+        for w in sorted({r[4].shape[1] for r in rows}):
+            yield from _near(*[np.concatenate([r[i] for r in rows if r[4].shape[1] == w]) for i in range(5)])
 
     for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) >= _ENTRIES:
-            rows = pa.Table.from_batches(held)
-            key = rows.column("key").to_numpy()
-            whole = int(np.searchsorted(key, key[-1]))
-            if whole:
-                yield from flush(rows.slice(0, whole))
-                held = rows.slice(whole).to_batches()
+        if not b.num_rows:
+            continue
+        part, rep, carried = (b.column(n).to_numpy(zero_copy_only=False) for n in ("part", "rep", "carried"))
+        bits = flat(b.column("bits"))[0].reshape(b.num_rows, -1)
+        bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+        symbols, widths = flat(b.column("symbols"))
+        starts = np.concatenate([[0], np.cumsum(widths)])
+        cuts = [0, *(np.flatnonzero(np.diff(part) != 0) + 1).tolist(), b.num_rows]
+        # Runs of entries of one width within the batch, cut where the last part of it begins.
+        cuts = [c for c in cuts if c in (0, b.num_rows) or widths[c] != widths[c - 1] or c == cuts[-2]]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and part[lo] != held[-1][0][-1] and sum(len(h[0]) for h in held) >= _ENTRIES:
+                done, held = held, []
+                yield from flush(done)
+            held.append((part[lo:hi].view(np.uint64), rep[lo:hi].copy(), carried[lo:hi].copy(), bits[lo:hi].copy(), symbols[starts[lo] : starts[hi]].reshape(hi - lo, -1).copy()))
     if held:
-        yield from flush(pa.Table.from_batches(held))
+        yield from flush(held)
 
 
-def _hot_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of rows (block, carried, seq, id_key, line, text) of hot blocks, by tables spread over the cluster."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    rows = rows.select("block", "carried", "seq", "id_key", "line", words.alias("words"))
+def _stored(df: DataFrame, schema: str, name: str) -> DataFrame:
+    """Written to the checkpoint folder, in files so small that work on them spreads; the optimizer knows their size."""
+    at = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", 5_000).parquet(at)
+    return df.sparkSession.read.schema(schema).parquet(at)
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
-        for b in batches:
-            prints = fingerprints([[cache[w] for w in ws] for ws in b.column("words").to_pylist()])
-            block = b.column("block").to_numpy().view(np.uint64)
-            again = pa.array(np.tile(np.arange(b.num_rows), AT_ONCE * HOT_SEGMENT))
-            bits = np.packbits(prints & 1, axis=1)
-            bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))
-            shown = pa.array([x.tobytes() for x in bits], pa.binary()).take(again)
-            kept = [b.column(n).take(again) for n in ("block", "seq", "carried")]
-            for first in range(0, HOT_SEGMENTS, AT_ONCE):
-                keys = _table_keys(block, prints, HOT_SEGMENT, range(first, first + AT_ONCE))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *kept, shown], names=["key", "block", "seq", "carried", "print"])
-
-    made = rows.where(F.size("words") > 0).select("block", "seq", "carried", "words").mapInArrow(entries, "key long, block long, seq long, carried boolean, print binary")
-    pairs = made.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "block long, seq_a long, seq_b long").distinct()
-    left, right = (rows.select("block", F.col("seq").alias(f"seq_{x}"), F.col("carried").alias(f"carried_{x}"), F.col("id_key").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
-    both = pairs.join(left, ["block", "seq_a"]).join(right, ["block", "seq_b"]).where(f"id_a != id_b and abs(line_a - line_b) <= {LINES}")
+
+#: Rows of a class from which its pairs are made in more than one task.
+_SHARE = 2_000
+
+
+def _hot_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of rows (block, after, own_n, after_n, seq, id_key, line, text) of hot blocks; own_n and after_n are the blocks' sizes, null where they are not hot."""
+
+    def words(text: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+
+    said = rows.withColumn("words", F.array_sort(words("text"))).where("size(words) > 0").withColumn("said", F.md5(F.array_join("words", " "))).drop("words")
+    fields = "block long, after long, own_n long, after_n long, seq long, id_key string, line int, text string, said string"
+    rows = _stored(said.select([f.split()[0] for f in fields.split(", ")]), fields, "hot-rows")
+    place = ["block", "line", "said"]
+    same = [F.first(n).alias(n) for n in ("after", "own_n", "after_n", "text")]
+    classes = rows.groupBy(*place).agg(F.min("seq").alias("rep"), F.count("*").alias("n"), F.min("id_key").alias("least"), F.max("id_key").alias("most"), *same)
+    classes = _stored(classes, "block long, line int, said string, rep long, n long, least string, most string, after long, own_n long, after_n long, text string", "classes")
+    made = classes.select("block", "after", "own_n", "after_n", "rep", "text").mapInArrow(_entries, "part long, rep long, carried boolean, bits binary, symbols binary")
+    near = made.repartition("part").sortWithinPartitions("part").mapInArrow(_met, "rep_a long, rep_b long").distinct()
+    left, right = (classes.select(F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("line").alias(f"line_{x}"), words("text").alias(f"words_{x}")) for x in "ab")
+    both = near.join(left, "rep_a").join(right, "rep_b").where(f"abs(line_a - line_b) <= {LINES}")
     shared = F.size(F.array_intersect("words_a", "words_b"))
-    alike = both.where((shared > 0) & (shared >= (F.size("words_a") + F.size("words_b") - shared) * THRESHOLD))
-    return alike.select(F.least("seq_a", "seq_b").alias("seq_a"), F.greatest("seq_a", "seq_b").alias("seq_b"))
+    alike = both.where((shared > 0) & (shared >= (F.size("words_a") + F.size("words_b") - shared) * THRESHOLD)).select("rep_a", "rep_b", "n_b")
+    # Copies pair up in their own block; where that is cold, its tables find them.
+    alike = alike.unionByName(classes.where("own_n is not null and least != most").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b")))
+    # From pairs of classes to pairs of rows; large classes in shares, so that no task makes all pairs of one.
+    members = rows.join(classes.select(*place, "rep", "n"), place)
+    first = members.select(F.col("rep").alias("rep_a"), F.col("seq").alias("seq_a"), F.col("id_key").alias("id_a"))
+    second = members.select(F.col("rep").alias("rep_b"), F.expr(f"pmod(xxhash64(seq), n div {_SHARE} + 1)").alias("share"), F.col("seq").alias("seq_b"), F.col("id_key").alias("id_b"))
+    pairs = alike.withColumn("share", F.explode(F.expr(f"sequence(0L, n_b div {_SHARE})"))).join(first, "rep_a").join(second, ["rep_b", "share"])
+    pairs = pairs.where("id_a != id_b and (rep_a != rep_b or seq_a < seq_b)")
+    return pairs.select(F.least("seq_a", "seq_b").alias("seq_a"), F.greatest("seq_a", "seq_b").alias("seq_b"))
 
 
 def similar_reports(findings: DataFrame, scans: DataFrame) -> DataFrame:
@@ -294,8 +389,8 @@ def similar_reports(findings: DataFrame, scans: DataFrame) -> DataFrame:
     sizes = rows.select("path", "line").mapInArrow(places, "block long, own long").groupBy("block").agg(F.count("*").alias("n"), F.sum("own").alias("own")).where(f"n > {HOT}")
     at = f"{checkpoint_dir(spark)}/hot-{uuid.uuid4().hex}"
     # Blocks with carried rows only have no pair; their rows go nowhere.
-    sizes.select("block", (F.col("own") > 0).alias("met")).write.parquet(at)
-    hot = spark.read.schema("block long, met boolean").parquet(at)
+    sizes.select("block", (F.col("own") > 0).alias("met"), "n").write.parquet(at)
+    hot = spark.read.schema("block long, met boolean, n long").parquet(at)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -306,7 +401,8 @@ def similar_reports(findings: DataFrame, scans: DataFrame) -> DataFrame:
 
     text = rows.select("seq", "id_key", "path", "line", F.concat_ws(" ", "title", "description").alias("text"))
     spread = text.mapInArrow(placed, "block long, after long, stretch long, next long, seq long, id_key string, line int, text string")
-    marked = spread.join(hot.select("block", F.col("met").alias("own_met")), "block", "left").join(hot.select(F.col("block").alias("after"), F.col("met").alias("after_met")), "after", "left")
+    own_hot, after_hot = (hot.select(F.col("block").alias(b), F.col("met").alias(f"{x}_met"), F.when(F.col("met"), F.col("n")).alias(f"{x}_n")) for b, x in (("block", "own"), ("after", "after")))
+    marked = spread.join(own_hot, "block", "left").join(after_hot, "after", "left")
     own_cold, after_cold, same = F.col("own_met").isNull(), F.col("after_met").isNull(), F.col("stretch") == F.col("next")
 
     def routed(*ways: tuple[Column, Column, Column, Column]) -> DataFrame:
@@ -320,8 +416,7 @@ def similar_reports(findings: DataFrame, scans: DataFrame) -> DataFrame:
     found = cold.repartition("stretch").sortWithinPartitions("stretch").mapInArrow(_cold_pairs, "seq_a long, seq_b long")
     if hot.isEmpty():
         return found
-    hot_rows = routed((F.coalesce("own_met", no), F.col("block"), yes, no), (F.coalesce("after_met", no), F.col("after"), no, yes))
-    return found.unionByName(_hot_pairs(hot_rows.drop("block").withColumnRenamed("key", "block")))
+    return found.unionByName(_hot_pairs(marked.where("own_n is not null or after_n is not null")))
 
 
 def _components(edges: DataFrame, most_rounds: int) -> DataFrame:

@@ -239,6 +239,52 @@ def test_groups_of_copies_are_counted_without_their_pairs(spark):
     assert got == want
 
 
+def test_a_hot_block_moves_little_for_each_row(spark):
+    r = random.Random(14)
+    rows = []
+    for i in range(3000):
+        t = [f"w{r.randrange(150)}" for _ in range(40)]
+        rows.append((2 * i, f"a{i}", "shop/lock.json", f"own{i}", i % 6, " ".join(t)))
+        if i % 10 == 0:
+            t[:6] = [f"new{i}x{k}" for k in range(r.choice([2, 6]))]
+            rows.append((2 * i + 1, f"b{i}", "shop/lock.json", f"own{i}", i % 6, " ".join(t)))
+    sets = {x[0]: set(re.findall("[a-z0-9]+", f"{x[3]} {x[5]}")) for x in rows}
+    want = {(a, a + 1) for a in sets if a % 2 == 0 and a + 1 in sets and 10 * len(sets[a] & sets[a + 1]) >= 6 * len(sets[a] | sets[a + 1])}
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = {(x.seq_a, x.seq_b) for x in near_duplicates.similar_reports(spark.createDataFrame(rows, SCHEMA), scans(spark)).collect()}
+    assert all(10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b]) for a, b in got)
+    assert len(got & want) >= 0.995 * len(want) > 200
+    assert (written() - before) / len(rows) < 3000
+
+
+def test_parts_of_a_hot_block_meet_what_is_alike(monkeypatch):
+    r = random.Random(15)
+    near, pa, np = near_duplicates, near_duplicates.pa, near_duplicates.np
+    said = []
+    for i in range(500):
+        plate, own = [f"plate{k}" for k in range(10)], [f"v{i}x{k}" for k in range(20)]
+        said += [" ".join(plate + own), " ".join(plate + own[: r.choice([13, 15])] + [f"u{i}x{k}" for k in range(6)])]
+    sets = [set(t.split()) for t in said]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(1000, 5)), pa.array(np.full(1000, 6)), pa.array([1000] * 1000, pa.int64()), pa.array([None] * 1000, pa.int64()), pa.array(np.arange(1000)), pa.array(said)], names=["block", "after", "own_n", "after_n", "rep", "text"])
+    # All pairs, dealt segments, halves of segments.
+    for most, whole in ((2048, 10**6), (0, 10**6), (0, 0)):
+        for name, value in (("ALL_PAIRS", most), ("IN_PART", 300), ("WHOLE", whole), ("_ENTRIES", 700)):
+            monkeypatch.setattr(near, name, value)
+        sent = pa.Table.from_batches(near._entries(iter([batch]))).sort_by("part")
+        got = {(int(a), int(b)) for x in near._met(iter(sent.to_batches(max_chunksize=333))) for a, b in zip(x.column("rep_a").to_numpy(), x.column("rep_b").to_numpy())}
+        assert all(10 * len(sets[2 * i] & sets[2 * i + 1]) >= 6 * len(sets[2 * i] | sets[2 * i + 1]) for i in range(500))
+        assert len(got & {(2 * i, 2 * i + 1) for i in range(500)}) >= 498 and len(got) < 520
+
+
+def test_copies_in_a_hot_block_are_all_paired(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "_SHARE", 50)
+    rows = [(i, f"id{i % 150}", "shop/lock.json", None, 4 + i % 3, "one two three four five") for i in range(330)] + [(900 + i, f"id{i}", "shop/lock.json", None, 9, "one two three four six") for i in range(2)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1]}
+    got = [(x.seq_a, x.seq_b) for x in near_duplicates.similar_reports(spark.createDataFrame(rows, SCHEMA), scans(spark)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 CODE = [
     ('password = "%s"', "hunter2!x9"), ("url = 'postgres://app:%s@db.test/x'", "Zq8#kkPa"), ("curl -H 'X-Api-Key: %s' https://a.test", "0f3a9b7c6d5e4f3a2b1c0d9e8f7a6b5c"), ("# TODO: token=%s", "aK3jd93KdkeP02mdk4Lm3kd9s"),
     ('os.environ.get("DB_SECRET", "%s")', "Blue-lagoon-77"), ("charge('%s')", "sk_live_a9Kd83mdK20dkLm3Xc7q"), ('k = """%s"""', "-----BEGIN RSA PRIVATE KEY-----\nMIIabc123\nZZ==\n-----END RSA PRIVATE KEY-----"),
